@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import importlib
-
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe_count, simhash, token_files
 from .common import table
 
 
@@ -14,6 +12,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
