@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, simhash, token_files
+from . import bpe_count, line_dedup, simhash, token_files
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -24,4 +28,17 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # translate() and not lower(), which folds more than A-Z
+    "op7_line_dedup": r"""
+        WITH lines AS (
+          SELECT d.rid, d.doc_id, u.i, d.parts[u.i] AS line,
+                 translate(regexp_replace(d.parts[u.i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+          FROM (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+               unnest(range(1, len(d.parts) + 1)) AS u(i)),
+        frequent AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT rid) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.k IS NULL), '')) AS kept_sha256
+        FROM lines LEFT JOIN frequent f ON lines.k = f.k GROUP BY rid, doc_id""",
+}
