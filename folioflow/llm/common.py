@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,34 +78,25 @@ def fraction(*columns) -> F.Column:
     return F.pmod(F.xxhash64(F.lit("draw"), *columns), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def ranked(df: DataFrame, groups: list[str], draw: str, ties: list[str], counts: dict[str, str], per_bucket: int) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], draw: str, ties: list[str], counts: dict[str, str], rows: int) -> DataFrame:
     """Exclusive running sums within each group, in the order of a uniform draw.
 
-    ``draw`` names a column of uniform doubles in [0, 1). Each group is cut into as many
-    equal ranges of the draw as its rows need (``per_bucket`` rows each), so one hot group
-    becomes many tasks; sums of whole ranges give each range its offset and a window
-    inside the range does the rest. ``counts`` maps output names to summed columns.
-    Only per-range sums, never rows, meet in the window over a group.
+    ``draw`` names a column of uniform doubles in [0, 1), ``groups`` columns without nulls;
+    ``counts`` maps output names to the summed columns; ``rows`` is the number of rows of
+    ``df``. The draw is cut into about sqrt(rows) equal ranges, so a hot group becomes as
+    many tasks; the sums of whole ranges give each range its offset and a window inside
+    the range does the rest. No window gets more than about sqrt(rows) rows for each hot
+    group, whatever the size.
     """
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rows"))
-    sizes = sizes.withColumn("__n", F.ceil(F.col("__rows") / per_bucket).cast("int"))
-    same = lambda a, b: [a[g].eqNullSafe(b[g]) for g in groups]
-    s = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__n")
-    joined = df.join(F.broadcast(s), [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)])
-    bucketed = joined.drop(*[f"__g{i}" for i in range(len(groups))]).withColumn(
-        "__b", F.floor(F.col(draw) * F.col("__n")).cast("int")
-    ).drop("__n")
-    sums = bucketed.groupBy(*groups, "__b").agg(*[F.sum(c).alias(f"__s_{o}") for o, c in counts.items()])
+    cut = df.withColumn("__b", F.floor(F.col(draw) * max(1, math.isqrt(rows))).cast("int"))
+    key = [*groups, "__b"]
+    inside = Window.partitionBy(*key).orderBy(draw, *ties).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(g).alias(f"__h{i}") for i, g in enumerate(groups)], F.col("__b").alias("__c"),
-        *[F.coalesce(F.sum(f"__s_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in counts],
-    )
-    inside = Window.partitionBy(*groups, "__b").orderBy(draw, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    rows = bucketed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{o}") for o, c in counts.items()])
-    on = [F.col(g).eqNullSafe(F.col(f"__h{i}")) for i, g in enumerate(groups)] + [F.col("__b") == F.col("__c")]
-    out = rows.join(starts, on)
-    return out.select(*df.columns, *[(F.col(f"__o_{o}") + F.col(f"__i_{o}")).cast("long").alias(o) for o in counts])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = cut.groupBy(*key).agg(*[F.sum(c).alias(f"__s_{o}") for o, c in counts.items()])
+    starts = sums.select(*key, *[zero(F.sum(f"__s_{o}").over(before)).alias(f"__o_{o}") for o in counts])
+    each = cut.select("*", *[zero(F.sum(c).over(inside)).alias(f"__i_{o}") for o, c in counts.items()])
+    return each.join(starts, key).select(*df.columns, *[(F.col(f"__o_{o}") + F.col(f"__i_{o}")).cast("long").alias(o) for o in counts])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
