@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, kd_shards, line_dedup, mixing, simhash, token_files
+from . import bpe_count, kd_shards, language, line_dedup, mixing, simhash, token_files
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(table(spark, sf_dir, "documents"))
 
