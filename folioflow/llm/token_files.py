@@ -17,13 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import by_batch, fresh_path
 
-TOKENIZER, END, CACHE, LONGEST = "word_bpe_49k.json", 2, 600_000, 48
+TOKENIZER, END, CACHE, POOL = "word_bpe_49k.json", 2, 1_000_000, 20_000_000
 SCHEMA = "shard int, doc_id long, at long, n_tokens int, ids array<int>"
 #: Row groups of about 16 MB, pages of at most 64 KB or 2,000 rows.
 LAYOUT = {
@@ -31,43 +32,119 @@ LAYOUT = {
     "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true",
     "parquet.dictionary.page.size": 1 << 20,
 }
-#: Python splits at these four as well, the tokenizer's white space does not hold them.
-ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Latin-1 letters, and what may follow them: ASCII marks, which are one unit to the tokenizer.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+MARKS = r"[!-/:-@\[-`{-~]*$"
 
 
-class WordEncoder(dict):
-    """Word -> its ids as little-endian 32-bit bytes; texts are words apart from white space.
+class WordEncoder:
+    """Batches of texts to their ids; texts are words apart from white space.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words in turn. The library encodes each word once per worker; the cache
-    has a bounded number of entries and long words stay out of it.
+    of its words in turn, and the library need not see a word twice. A batch is split and its
+    distinct words are found by Arrow. Words of Latin-1 letters that differ only in case or in the
+    marks after them share a core, which is one unit to the tokenizer: new cores
+    are encoded together and told apart by the ids that end a unit. The known cores' ids lie
+    in one array, emptied when it holds ``CACHE`` cores or ``POOL`` ids.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-
-    def library(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.library(word)
-        if len(word) <= LONGEST:
-            self[word] = got
-        return got
-
-    def learn(self, texts: list[str]) -> None:
-        if len(self) >= CACHE:
-            self.clear()
-        new = [w for w in set().union(*map(str.split, texts)).difference(self) if len(w) <= LONGEST]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(map(text.__contains__, ODD)):
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = np.empty(1 << 20, np.int32)
+        self.lies = np.zeros(CACHE + (1 << 20), np.int64)  # where the n-th core's ids begin; it ends where the next begins
+        self.used = 0
+
+    def library(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _add(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, at = len(self.known), self.used
+        if at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), np.int32)])
+        if n + len(names) + 1 > len(self.lies):
+            self.lies = np.concatenate([self.lies, np.zeros(len(names) + len(self.lies), np.int64)])
+        self.pool[at : at + len(ids)] = ids
+        self.used = at + len(ids)
+        self.lies[n + 1 : n + 1 + len(names)] = at + ends
+        self.known.update(zip(names, range(n, n + len(names))))
+
+    def _mark(self, text: str) -> np.ndarray:
+        if len(text) > 8:
             return self.library(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if text not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[text] = self.library(text)
+        return self.marks[text]
+
+    def learn(self, new: list[str]) -> None:
+        simple = [w for w in new if w.isalpha() and w.islower() and max(w) < "\u0100"]
+        if simple:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(simple):
+                raise ValueError("the tokenizer does not keep words of letters apart")
+            self._add(simple, ids, ends)
+        other = [w for w in new if w not in self.known]
+        if other:
+            each = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._add(other, np.concatenate(each), np.cumsum([len(x) for x in each]))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with ``end`` appended, and the number of each text's."""
+        if len(self.known) >= CACHE or self.used >= POOL:
+            self.clear()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        plain = pc.match_substring_regex(words, LETTERS + MARKS)
+        mark = pc.if_else(plain, pc.replace_substring_regex(words, LETTERS, ""), "").dictionary_encode()
+        ids_of = [self._mark(x) for x in mark.dictionary.to_pylist()]
+        core_of = pc.replace_substring_regex(words, MARKS, "")
+        keys = pc.if_else(plain, pc.utf8_lower(core_of), words).dictionary_encode()
+        names = keys.dictionary.to_pylist()
+        self.learn([w for w in names if w not in self.known])
+        core = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[keys.indices.to_numpy()]
+        # each occurring word: its core's ids, then its mark's; "" occurs at the ends of a text
+        begin, size = self.lies[core][index], (self.lies[core + 1] - self.lies[core])[index]
+        marks = mark.indices.to_numpy()[index]
+        extra = np.array([len(x) for x in ids_of], np.int64)[marks]
+        total = np.concatenate([[0], np.cumsum(size + extra)])
+        first, n = total[:-1], int(total[-1])
+        text_ends = total[bounds[1:]]
+        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))  # of each word: so many end ids stand before it
+        out = np.full(n + len(texts), end, np.int32)
+        own = np.cumsum(size)
+        step = np.arange(int(own[-1]) if len(own) else 0)
+        out[np.repeat(first + doc - (own - size), size) + step] = self.pool[np.repeat(begin - (own - size), size) + step]
+        marked = np.flatnonzero(extra)
+        order = marked[np.argsort(marks[marked], kind="stable")]
+        for where in np.split(order, np.flatnonzero(np.diff(marks[order])) + 1):
+            if len(where):
+                at = first[where] + doc[where] + size[where]
+                for j, x in enumerate(ids_of[marks[where[0]]]):
+                    out[at + j] = x
+        return out, np.diff(np.concatenate([[0], text_ends])) + 1
+
+
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes in the column of texts, of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -88,21 +165,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end: int
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("tie", F.xxhash64("text"))
     d = d.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    last = np.uint32(end).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, words = 0, encoder(tokenizer)
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                texts = batch.column(1).to_pylist()
-                words.learn(texts)
-                each = [words.encode(x) + last for x in texts]
-                n = np.fromiter((len(x) >> 2 for x in each), np.int64, len(each))
+            for batch in portions(whole, 1, 8 << 20):
+                flat, n = words.encode(batch.column(1), end)
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(each), "<i4"))
-                )
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2), batch.column(0), pa.array(at + ends - n), pa.array(n.astype(np.int32)), ids],
                     ["shard", "doc_id", "at", "n_tokens", "ids"],
@@ -127,7 +197,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def _crc(batch: pa.RecordBatch) -> pa.RecordBatch:
     ids = batch.column(3)
     offsets = ids.offsets.to_numpy()
-    data = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+    data = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
     crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:])]
     return pa.RecordBatch.from_arrays(
         [batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), pa.array(crc, pa.int64())],
