@@ -65,8 +65,8 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT * FROM {_PAGES}),
-  h AS (SELECT doc_id, lines[1] AS line FROM p WHERE len(lines) > 0 GROUP BY ALL HAVING count(*) >= 3 AND length(lines[1]) > 2),
-  f AS (SELECT doc_id, lines[-1] AS line FROM p WHERE len(lines) > 0 GROUP BY ALL HAVING count(*) >= 3 AND length(lines[-1]) > 2),
+  h AS (SELECT doc_id, line FROM (SELECT doc_id, lines[1] AS line FROM p WHERE len(lines) > 0) GROUP BY doc_id, line HAVING count(*) >= 3 AND length(line) > 2),
+  f AS (SELECT doc_id, line FROM (SELECT doc_id, lines[-1] AS line FROM p WHERE len(lines) > 0) GROUP BY doc_id, line HAVING count(*) >= 3 AND length(line) > 2),
   a AS (SELECT p.doc_id, page_no, CASE WHEN h.line IS NULL THEN lines ELSE list_slice(lines, 2, len(lines)) END AS lines FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND p.lines[1] = h.line)
   SELECT a.doc_id, page_no, (len(lines) - (f.line IS NOT NULL)::INT)::INT AS n_lines,
          md5(array_to_string(CASE WHEN f.line IS NULL THEN lines ELSE list_slice(lines, 1, len(lines) - 1) END, chr(10))) AS digest
