@@ -1,16 +1,16 @@
-"""Helpers shared by the corpus operators: lineage cuts, row digests, components."""
+"""Helpers shared by the corpus operators: batches, running sums, components."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.lineage import dropped, fresh_path, written  # noqa: F401
+
 #: ASCII bytes A-Z to a-z; everything else stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Java form of a run of characters that are not ASCII white space.
@@ -21,41 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet into the shared folder and read it back.
-
-    The schema is given on reading, so no job infers it and an empty table keeps it.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    shared = shared_dir(spark).removeprefix("file://")
-    jvm = spark._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if shared in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def by_batch(df: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns; ``function`` maps one record batch to one or none.
 
