@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.lineage import numbered
 
 
 def first_per_key(df: DataFrame, key: str, *order, keep: str | None = None) -> DataFrame:
@@ -57,10 +60,7 @@ def drawn(df: DataFrame, order: str, n: int, seed: int = 42) -> DataFrame:
 
     Only the n positions are drawn on the driver; the rows meet them by their position.
     """
-    import random
-
     total = df.count()
     at = random.Random(seed).sample(range(total), min(n, total))
     picks = df.sparkSession.createDataFrame(list(enumerate(at)), "draw int, __at long")
-    numbered = df.withColumn("__at", F.row_number().over(Window.orderBy(order)).cast("long") - 1)
-    return numbered.join(F.broadcast(picks), "__at").drop("__at").orderBy("draw")
+    return numbered(df, [order], "__at").join(F.broadcast(picks), "__at").drop("__at").orderBy("draw")

@@ -8,7 +8,9 @@ whole partition again) and end up in an error column while the batch goes on.
 from __future__ import annotations
 
 import hashlib
+import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -69,6 +71,32 @@ def echo_generator() -> TextGenerator:
     return lambda prompt: (prompt or "").rstrip().rpartition("\n")[2]
 
 
+def messages_service(url: str, key: str, model: str, max_tokens: int = 1024, timeout: float = 60, opener: Callable | None = None) -> TextGenerator:
+    """A generator behind a web service that takes messages and returns parts of text; greedy, no retries of its own."""
+
+    def call(prompt: str) -> str:
+        body = {"model": model, "max_tokens": max_tokens, "temperature": 0, "thinking": {"type": "disabled"}, "messages": [{"role": "user", "content": prompt}]}
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", "x-api-key": key}, method="POST")
+        with (opener or urllib.request.urlopen)(request, timeout=timeout) as reply:
+            parts = json.load(reply).get("content") or []
+        return "".join(p.get("text", "") for p in parts if isinstance(p, dict))
+
+    if not url:
+        raise ValueError("the service has no address")
+    return call
+
+
+def bounded(generator: TextGenerator, limit: int, encode: Callable[[str], list], decode: Callable[[list], str], marker: str = "\n…\n") -> TextGenerator:
+    """A generator that sees over-long prompts as their first and last tokens: the question stands at the end."""
+
+    def call(prompt: str) -> str:
+        ids = encode(prompt)
+        half = limit // 2
+        return generator(prompt if len(ids) <= limit else decode(ids[:half]) + marker + decode(ids[-half:]))
+
+    return call
+
+
 def with_retry(call: Callable, tries: int = 3, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
     """``call`` repeated after wait, 2 wait, ... seconds; the last failure is raised."""
 
@@ -118,13 +146,13 @@ def scored(df: DataFrame, query: str, text: str, factory: Callable[[], Reranker]
     return df.mapInArrow(run, schema)
 
 
-def generated(df: DataFrame, prompt: str, factory: Callable[[], TextGenerator] = echo_generator, workers: int | None = None, tries: int = 3, wait: float = 5.0, out: str = "reply") -> DataFrame:
+def generated(df: DataFrame, prompt: str, factory: Callable[[], TextGenerator] = echo_generator, workers: int | None = None, tries: int = 3, wait: float = 5.0, out: str = "reply", error: str = "error") -> DataFrame:
     """``df`` with ``reply`` and ``error``: a failed row has a null reply and what went wrong.
 
     ``workers`` bounds how many tasks call the model at once.
     """
     kept = df.columns
-    schema = df.select("*", F.lit("").cast("string").alias(out), F.lit("").cast("string").alias("error")).schema
+    schema = df.select("*", F.lit("").cast("string").alias(out), F.lit("").cast("string").alias(error)).schema
     at = kept.index(prompt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +166,6 @@ def generated(df: DataFrame, prompt: str, factory: Callable[[], TextGenerator] =
                 except Exception as e:  # the row carries it; the batch goes on
                     replies.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], [*kept, out, "error"])
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], [*kept, out, error])
 
     return (df.repartition(workers) if workers else df).mapInArrow(run, schema)

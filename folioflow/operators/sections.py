@@ -53,7 +53,10 @@ def deduplicated(chunks: DataFrame, doc: str | None = "doc_id", order: str = "ch
     ``doc=None`` looks across documents; then the earliest in (doc_id, order) stays.
     """
     key = X.normalize_key(F.col("text"), length)
-    w = Window.partitionBy(*([doc] if doc else []), key).orderBy(*([] if doc else ["doc_id"]), order)
+    if doc is None:  # a chunk that half the corpus shares: partial minima, not one task's window
+        firsts = chunks.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*chunks.columns), F.struct("doc_id", order)).alias("c"))
+        return firsts.select("c.*")
+    w = Window.partitionBy(doc, key).orderBy(order)
     return chunks.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from folioflow.functions import text as X
+from folioflow.lineage import numbered
 from folioflow.operators.models import PdfParser
 
 
@@ -47,11 +48,9 @@ def json_strings(spark: SparkSession, path: str) -> DataFrame:
 
 def chunk_records(spark: SparkSession, path: str) -> DataFrame:
     """Index records of a folder of chunk files; ``rec_id`` follows file name and ordinal."""
-    from pyspark.sql import Window
-
     t = json_strings(spark, path)
-    w = Window.orderBy("file", "ord")
-    return t.select((F.row_number().over(w) - 1).cast("long").alias("rec_id"), X.company_label(F.col("file")).alias("company"), "file", F.col("ord").alias("chunk_idx"), "text")
+    n = numbered(t, ["file", "ord"], "rec_id")
+    return n.select("rec_id", X.company_label(F.col("file")).alias("company"), "file", F.col("ord").alias("chunk_idx"), "text")
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.pdf", limit: int | None = None) -> DataFrame:
