@@ -3,7 +3,8 @@
 Words become templates: numbers, capitalised words inside a sentence and units after a
 number are replaced by typed placeholders, everything else is lower-cased and stripped
 of punctuation. Windows of five template words of the benchmark, at most two of
-them placeholders, are hash-joined with the windows of every document; the benchmark is
+them placeholders, are hash-joined with the windows of every document, and so are the same
+windows without placeholders, which meet copies whose names have lost their capitals; the benchmark is
 the small side, held in blocks of a checked size, and every block meets every document.
 Matches of one item are put together along the text; what stood in the placeholders
 must map one to one between item and document, else the contradicting windows go.
@@ -72,6 +73,15 @@ class Canon:
 _canon = Canon()
 
 
+def _windows(code: np.ndarray) -> np.ndarray:
+    """A hash of every ``WINDOW`` neighbouring codes."""
+    n = max(len(code) - WINDOW + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for i in range(WINDOW):
+        h += code[i : n + i] * _P[i]
+    return h ^ (h >> np.uint64(31))
+
+
 class Words:
     """The template words of a batch of texts."""
 
@@ -98,41 +108,54 @@ class Words:
         unit = ((flags & 4) > 0) & after
         self.kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], LITERAL).astype(np.int8)
         code = _canon.code[entry][self.word]
-        self.code = np.select([number, unit, name], [_NUM, _UNIT, _NAME], code).astype(np.uint64)
-        n = max(len(code) - WINDOW + 1, 0)
-        self.hash, slots = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        self.hash = _windows(np.select([number, unit, name], [_NUM, _UNIT, _NAME], code).astype(np.uint64))
+        self.plain = _windows(code)
+        n = len(self.hash)
+        slots = np.zeros(n, np.int64)
         for i in range(WINDOW):
-            self.hash += self.code[i : n + i] * _P[i]
             slots += self.kind[i : n + i] > 0
-        self.hash ^= self.hash >> np.uint64(31)
-        self.valid = (self.doc[:n] == self.doc[WINDOW - 1 :]) & (slots <= SLOTS)
+        self.whole = self.doc[:n] == self.doc[WINDOW - 1 :]
+        self.valid = self.whole & (slots <= SLOTS)
 
     def text(self, at: int) -> str:
         return _EDGES.sub("", self.surface[int(self.word[at])].as_py()).lower()
 
 
 class Index:
-    """The windows of a block of the benchmark."""
+    """The windows of a block of the benchmark, as templates and as they are.
+
+    An item whose windows all hold too many placeholders is known by its plain windows alone.
+    """
 
     def __init__(self, ids: list, texts: list[str | None]):
         w = Words(pa.array(texts, pa.string()))
-        at = np.flatnonzero(w.valid)
-        order = np.argsort(w.hash[at], kind="stable")
-        self.at = at[order]
-        self.hash = w.hash[self.at]
-        self.item = w.doc[self.at]
-        self.pos = self.at - w.first[self.item]
+        n = len(w.hash)
+        able = np.bincount(w.doc[:n][w.valid], minlength=len(ids)) > 0
+        counted = w.valid | (w.whole & ~able[w.doc[:n]])
+        template, plain = np.flatnonzero(w.valid), np.flatnonzero(counted & ((w.hash != w.plain) | ~w.valid))
+        at, codes = np.concatenate([template, plain]), np.concatenate([w.hash[template], w.plain[plain]])
+        order = np.argsort(codes, kind="stable")
+        at, self.hash = at[order], codes[order]
+        self.item = w.doc[at]
+        self.pos = at - w.first[self.item]
         self.ids = ids
-        self.windows = np.bincount(self.item, minlength=len(ids))
+        self.windows = np.bincount(w.doc[:n][counted], minlength=len(ids))
         self.slots = {(int(w.doc[i]), int(i - w.first[w.doc[i]])): (int(w.kind[i]), w.text(i)) for i in np.flatnonzero(w.kind)}
         self.need = np.minimum(np.ceil(COVERAGE * self.windows), RUN - WINDOW + 1).astype(np.int64)
         self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.sieve[self._bit(self.hash)] = True
+
+    @staticmethod
+    def _bit(codes: np.ndarray) -> np.ndarray:
+        return (codes & np.uint64((1 << 20) - 1)).astype(np.int64)
 
     def hits(self, w: Words) -> list[tuple[int, int, float, int]]:
         """(document, item, coverage, longest run of words) of every item found in the batch."""
-        at = np.flatnonzero(w.valid & self.sieve[(w.hash & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(self.hash, w.hash[at], "left"), np.searchsorted(self.hash, w.hash[at], "right")
+        template = np.flatnonzero(w.valid & self.sieve[self._bit(w.hash)])
+        other = np.flatnonzero(w.whole & ((w.hash != w.plain) | ~w.valid))
+        other = other[self.sieve[self._bit(w.plain[other])]]
+        at, codes = np.concatenate([template, other]), np.concatenate([w.hash[template], w.plain[other]])
+        low, high = np.searchsorted(self.hash, codes, "left"), np.searchsorted(self.hash, codes, "right")
         n = high - low
         if not n.sum():
             return []

@@ -176,19 +176,26 @@ ITEM = "If Mary has 12 apples and later gives Peter 5 kg of them, how many apple
 
 
 @pytest.mark.parametrize("text, found", [
-    (f"before {ITEM} after", True), (ITEM.lower(), False), (ITEM.replace("Mary", "Anna").replace("12", "30"), True), ("quite other words " * 30, False), (None, False), ("", False),
+    (f"before {ITEM} after", True), (ITEM.lower(), True), (ITEM.upper(), True), ("Paris London Rome Berlin 42 7", False), (ITEM.replace("Mary", "Anna").replace("12", "30"), True), ("quite other words " * 30, False), (None, False), ("", False),
     (ITEM[:40], False), (ITEM.replace("12 apples", "12 apples or pears"), False),
 ])
 def test_items_with_other_parameters(spark, text, found):
     b = spark.createDataFrame([(1, ITEM), (2, "too short"), (3, None)], "item_id long, text string")
     d = spark.createDataFrame([(7, text, "x")], DOCS)
     out = decontaminate.contaminated(d, b).collect()
-    if text and text in (ITEM.lower(), ITEM.replace("12 apples", "12 apples or pears")):  # near the limit: names unseen, words put in
+    if text == ITEM.replace("12 apples", "12 apples or pears"):  # near the limit: words put in
         return
     assert [r.doc_id for r in out] == ([7] if found else [])
     assert decontaminate.cleaned(d, b).count() == (0 if found else 1)
 
 
+def test_an_item_of_placeholders_is_found_as_it_is():
+    item = "Visit Paris London Rome Berlin 42 7 Oslo"
+    index = decontaminate.Index([1], [item])
+    assert [x[2] for x in index.hits(decontaminate.Words(pa.array([f"so {item.lower()} then"])))] == [1.0]
+    assert index.hits(decontaminate.Words(pa.array(["Visit Vienna Madrid Lisbon Athens 3 9 Riga"]))) == []
+
+
 def test_slots_must_map_one_to_one():
     words = decontaminate.Words
     index = decontaminate.Index([1], [ITEM])
