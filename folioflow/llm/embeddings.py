@@ -9,7 +9,8 @@ alone; only pairs whose bound reaches the threshold are computed anew in double
 Candidates: the signs of further rotations are cut into ``tables`` keys of ``bits`` bits.
 Both numbers follow from the largest label: buckets hold about 32 vectors by chance and a
 pair at the threshold misses all tables with a probability below ``MISS``. Equal
-vectors are one class throughout. A bucket of more than ``CHUNK`` classes is split into chunks and
+vectors are one class throughout. Buckets are laid out with ids alone; vectors are attached
+once it is known which of them meet another. A bucket of more than ``CHUNK`` classes is split into chunks and
 each pair of chunks is a unit of its own, so no task holds a large bucket, and nothing but
 one row per class and unit leaves it: how many vectors the class links to and a
 representative of its links there. A pair that meets in several tables counts in the first alone.
@@ -53,15 +54,24 @@ def keys_of(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
-def links_between(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors (rows of a and b) whose cosine reaches the threshold."""
-    dim = a.shape[1]
-    ra, rb = a @ rotation(dim, 0), b @ rotation(dim, 0)
-    code = np.where(ra > 0, 1.0, -1.0).astype(np.float32) / np.float32(math.sqrt(dim))
-    factor = np.abs(ra).sum(axis=1) / math.sqrt(dim)  # <code, vector>, in (0, 1]
+def codes_of(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed signs of the rotated unit vectors, and <code, vector> in (0, 1] of each."""
+    r = unit @ rotation(unit.shape[1], 0)
+    return np.packbits(r > 0, axis=1), np.abs(r).sum(axis=1) / math.sqrt(unit.shape[1])
+
+
+def estimates(code: np.ndarray, factor: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines (coded vectors by rows of ``other``), and how far each coded vector's may be off."""
+    dim = other.shape[1]
+    signs = (np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
     bound = SURE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(dim - 1, 1))
-    estimate = (code @ rb.T.astype(np.float32)) / factor[:, None].astype(np.float32)
-    i, j = np.nonzero(estimate + bound[:, None].astype(np.float32) >= threshold - 1e-4)
+    return (signs @ (other @ rotation(dim, 0)).T.astype(np.float32)) / factor[:, None].astype(np.float32), bound.astype(np.float32)
+
+
+def links_between(a: np.ndarray, b: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit vectors (rows of a and b) whose cosine reaches the threshold; ``code`` and ``factor`` are a's."""
+    estimate, bound = estimates(code, factor, b)
+    i, j = np.nonzero(estimate + bound[:, None] >= threshold - 1e-4)
     exact = np.empty(len(i))
     for at in range(0, len(i), 1 << 15):
         s = slice(at, at + (1 << 15))
@@ -70,34 +80,35 @@ def links_between(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) ->
     return i[hit], j[hit]
 
 
-def _rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """vec_id, label, key: the vector's doubles, null if the vector cannot link."""
+def _rows(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
+    """vec_id, label, key: the vector's bytes, null if the vector cannot link."""
     out = []
     for v in batch.column(2).to_pylist():
-        x = None if v is None or any(y is None for y in v) else np.asarray(v, np.float64)
+        x = None if v is None or any(y is None for y in v) else np.asarray(v, kind)
         good = x is not None and len(x) and np.isfinite(x).all() and x.any()
         out.append(x.tobytes() if good else None)
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "key"])
 
 
-def unit_vectors(keys: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(keys), np.float64).reshape(len(keys), -1)
+def unit_vectors(keys: list[bytes], kind: str) -> np.ndarray:
+    v = np.frombuffer(b"".join(keys), kind).reshape(len(keys), -1).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)  # neither squares that overflow nor that vanish
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _tile(rows: list[dict], i: int, j: int, table: int, threshold: float) -> list[tuple[int, int, int]]:
+def _tile(rows: list[dict], i: int, j: int, kind: str, threshold: float) -> list[tuple[int, int, int]]:
     """(class, vectors linked, representative) of the links inside one chunk or between two."""
     chunk = np.array([r["chunk"] for r in rows])
-    unit = unit_vectors([r["key"] for r in rows])
-    keys = np.array([r["keys"] for r in rows], np.int64)
+    unit = unit_vectors([r["key"] for r in rows], kind)
+    earlier = np.array([r["earlier"] for r in rows], np.int64)  # keys in the tables before this one
+    code, factor = np.frombuffer(b"".join(r["code"] for r in rows), np.uint8).reshape(len(rows), -1), np.array([r["factor"] for r in rows])
     n = np.array([r["n"] for r in rows], np.int64)
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    a, b = links_between(unit[left], unit[right], threshold)
+    a, b = links_between(unit[left], unit[right], code[left], factor[left], threshold)
     a, b = left[a], right[b]
     if i == j:
         a, b = a[a < b], b[a < b]
-    new = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
+    new = ~(earlier[a] == earlier[b]).any(axis=1)
     a, b = a[new], b[new]
     if not len(a):
         return []
@@ -125,13 +136,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     ``kept`` true unless that is null). ``n_links`` counts the other rows linked, equal vectors
     included; vec_id should be unique, repeated rows link with each other.
     """
-    spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(T.ArrayType(T.DoubleType())).alias("embedding"))
+    kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), True) else "<f8"
+    numbers = T.ArrayType(T.FloatType() if kind == "<f4" else T.DoubleType())
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(numbers).alias("embedding"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
-                yield _rows(whole.slice(k, 1024))
+                yield _rows(whole.slice(k, 1024), kind)
 
     rows = written(v.mapInArrow(digest, "vec_id long, label string, key binary"), "vectors")
     able = F.col("label").isNotNull() & F.col("key").isNotNull() & F.col("vec_id").isNotNull()
@@ -139,7 +151,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     largest = classes.groupBy("label", F.length("key")).count().agg(F.max("count")).first()[0] or 0
     bits, tables = layout(largest, threshold)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
@@ -147,25 +159,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 got: list = [None] * len(each)
                 for size in {len(x) for x in each}:
                     at = [p for p, x in enumerate(each) if len(x) == size]
-                    for p, row in zip(at, keys_of(unit_vectors([each[p] for p in at]), bits, tables)):
-                        got[p] = row
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
-
+                    unit = unit_vectors([each[p] for p in at], kind)
+                    for p, code, factor, keys in zip(at, *codes_of(unit), keys_of(unit, bits, tables)):
+                        got[p] = (code.tobytes(), float(factor), keys)
+                code, factor, keys = zip(*got)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(code, pa.binary()), pa.array(factor, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "code", "factor", "keys"]
+                )
+
+    codes = written(classes.mapInArrow(coded, "label string, key binary, cid long, n long, code binary, factor double, keys array<long>"), "codes")
     bucket = ["label", "dim", "t", "h"]
-    exploded = classes.mapInArrow(keyed, "label string, key binary, cid long, n long, keys array<long>").select(
-        "*", F.length("key").alias("dim"), F.posexplode("keys").alias("t", "h")
-    )
-    narrow = exploded.select(*bucket).groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows"))
-    hot = narrow.where(F.col("rows") > CHUNK).select(*bucket, F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    parts = exploded.join(hot, bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    places = codes.select("label", F.length("key").alias("dim"), "cid", F.posexplode("keys").alias("t", "h"))
+    sizes = places.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*bucket, F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+    parts = places.join(sizes, bucket).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    parts = parts.select(*bucket, F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "cid")
     unit = [*bucket, "i", "j"]
-    parts = parts.select(*bucket, F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "cid", "n", "key", "keys")
+    parts = parts.join(codes.drop("label"), "cid").select(*unit, "chunk", "cid", "n", "key", "code", "factor", F.slice("keys", F.lit(1), F.col("t")).alias("earlier"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(at: tuple, rows: list[dict]) -> list[tuple[int, int, int]]:
-            return _tile(rows, at[4], at[5], at[2], threshold) if len(rows) > 1 else []
+            return _tile(rows, at[4], at[5], kind, threshold) if len(rows) > 1 else []
 
         at, held = None, []
         for whole in batches:
