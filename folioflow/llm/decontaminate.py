@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-WINDOW, SLOTS, COVERAGE, RUN, BLOCK_BYTES, CACHE = 5, 2, 0.8, 13, 16 << 20, 600_000
+WINDOW, SLOTS, COVERAGE, RUN, BLOCK_BYTES, CACHE = 5, 2, 0.8, 13, 16 << 20, 150_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl dl l s sec secs min mins h hr hrs ms hz khz mhz ghz kb mb gb tb w kw v a j kj cal kcal pa kpa bar "

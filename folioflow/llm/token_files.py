@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from .common import by_batch, fresh_path
 
-TOKENIZER, END, CACHE, POOL = "word_bpe_49k.json", 2, 1_000_000, 20_000_000
+TOKENIZER, END, CACHE, POOL, PORTION = "word_bpe_49k.json", 2, 250_000, 4_000_000, 4 << 20
 SCHEMA = "shard int, doc_id long, at long, n_tokens int, ids array<int>"
 #: Row groups of about 16 MB, pages of at most 64 KB or 2,000 rows.
 LAYOUT = {
@@ -60,7 +60,7 @@ class WordEncoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.pool = np.empty(1 << 20, np.int32)
-        self.lies = np.zeros(CACHE + (1 << 20), np.int64)  # where the n-th core's ids begin; it ends where the next begins
+        self.lies = np.zeros(CACHE + (1 << 18), np.int64)  # where the n-th core's ids begin; it ends where the next begins
         self.used = 0
 
     def library(self, text: str) -> np.ndarray:
@@ -169,7 +169,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, words = 0, encoder(tokenizer)
         for whole in batches:
-            for batch in portions(whole, 1, 8 << 20):
+            for batch in portions(whole, 1, PORTION):
                 flat, n = words.encode(batch.column(1), end)
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
@@ -178,6 +178,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end: int
                     ["shard", "doc_id", "at", "n_tokens", "ids"],
                 )
                 at += int(ends[-1])
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     d.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(out)
 
