@@ -152,7 +152,7 @@ def generated(df: DataFrame, prompt: str, factory: Callable[[], TextGenerator] =
     ``workers`` bounds how many tasks call the model at once.
     """
     kept = df.columns
-    schema = df.select("*", F.lit("").cast("string").alias(out), F.lit("").cast("string").alias(error)).schema
+    schema = df.select("*", F.lit(None).cast("string").alias(out), F.lit(None).cast("string").alias(error)).schema
     at = kept.index(prompt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ def json_or_empty(spark: SparkSession, path: str, schema: str, fresh: bool = Fal
     if fresh or not exists(spark, path):
         return spark.createDataFrame([], schema)
     names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
-    return json_objects(spark, path, schema).na.drop("all", names)
+    return json_objects(spark, path, schema).na.drop("all", subset=names)
 
 
 def json_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +105,7 @@ def fetched(manifest: DataFrame, fetch: Callable[[str], bytes], hosts: list[str]
     Rows without a path are skipped, not failed; ``fetch`` is injected (nothing here opens a connection).
     """
     kept = manifest.columns
-    schema = manifest.select("*", F.lit(None).cast("binary").alias("content"), F.lit("").cast("string").alias("host"), F.lit("").cast("string").alias("status")).schema
+    schema = manifest.select("*", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("status")).schema
     at = kept.index(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

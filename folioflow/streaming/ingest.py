@@ -29,4 +29,4 @@ def chunk_stream(docs: DataFrame, out: str, checkpoint: str, size: int = 1000):
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day", by: str = "event_type") -> DataFrame:
     """Counts and sums per window and kind; rows later than the watermark are dropped."""
     w = F.window("ts", width)
-    return events.withWatermark("ts", late).groupBy(w, by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w, by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
