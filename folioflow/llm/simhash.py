@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from . import jaccard
 from .common import LOWER, by_batch, components, written
 
 SHINGLE, SEED, RADIUS, SMALL = 3, 42, 2, 32
@@ -107,12 +108,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _prints_and_bands(batch: pa.RecordBatch) -> pa.RecordBatch:
+    prints, keys, bands = [], [], []
+    for x in batch.column(2).to_pylist():
+        codes = jaccard.shingles(x)
+        prints.append(signed(fingerprint(x)))
+        keys.append(jaccard.set_key(codes))
+        bands.append(jaccard.bands(codes))
+    return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "fp", "s", "bands"])
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, fp, root`` of every row of ``rows (row, doc_id, text)``; near copies share a root.
+
+    Near copies are texts whose fingerprints link and texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more.
+    """
+    prints = written(by_batch(rows, ["row", "doc_id", "text"], _prints_and_bands, "row long, doc_id long, fp long, s long, bands array<long>"), "fingerprints")
+    sets = written(prints.groupBy("s").agg(F.min("row").alias("row"), F.min("fp").alias("fp")), "sets")
+    banded = prints.join(sets.select("row"), "row", "left_semi").select("s", "row", "bands")
+    alike = jaccard.links(banded, rows.select("row", "text"))
+    of = sets.select("s", F.col("fp").alias("to"))
+    # in terms of fingerprints: those of one set are tied to the set's first, linked sets by their firsts
+    ties = prints.select("s", "fp").distinct().join(of, "s").where("fp <> to").select(F.col("fp").alias("u"), F.col("to").alias("v"))
+    across = alike.join(of.select(F.col("s").alias("u"), F.col("to").alias("a")), "u").join(of.select(F.col("s").alias("v"), F.col("to").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(links(prints.select("fp").distinct()).union(ties).union(across))
+    return prints.select("row", "doc_id", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("row", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id.
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
     Of repeated rows with that doc_id one stays. Rows without a doc_id stay only if their
     whole group has none.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    named = groups(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = named.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from folioflow.llm import common, embeddings, simhash
+from folioflow.llm import common, embeddings, jaccard, simhash
 
 DOCS = "doc_id long, text string, extra string"
 
@@ -148,3 +148,42 @@ def test_vectors_that_link_with_nothing(spark):
     assert all((out[k].n_links, out[k].component_id, out[k].kept) == (0, k, True) for k in range(3, 11))
     assert (out[None].n_links, out[None].component_id, out[None].kept) == (0, None, False)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def alike(texts):
+    sets = {i: plain_shingles(t) for i, t in texts}
+    return [(a, b) for k, a in enumerate(sets) for b in list(sets)[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+
+
+def edited(rng, n, share):
+    """A text and copies of it with words replaced here and there."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(1, share)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("few, centres", [(32, 8), (2, 1)])
+def test_near_copies_beyond_two_bits_go(spark, few, centres):
+    rng = random.Random(11)
+    texts = list(enumerate([x for n in (3, 3, 40) for x in edited(rng, n, 12)] + ["a b", "a b c", "", "q w e r t y"]))
+    near = alike(texts)
+    far = [(a, b) for a, b in near if bin(simhash.fingerprint(texts[a][1]) ^ simhash.fingerprint(texts[b][1])).count("1") > 2]
+    assert len(far) > 20
+    want = closure([i for i, _ in texts], near)
+    rows = [(i, jaccard.set_key(c), c) for i, t in texts for c in [jaccard.shingles(t)]]
+    banded = spark.createDataFrame([(s, i, jaccard.bands(c)) for i, s, c in rows], "s long, row long, bands array<long>")
+    of = {s: i for i, s, _ in rows}
+    got = jaccard.links(banded, spark.createDataFrame(texts, "row long, text string"), few, centres).collect()
+    assert closure(want, [(of[r.u], of[r.v]) for r in got]) == want
+    kept = simhash.keep_first(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
