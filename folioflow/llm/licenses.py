@@ -4,7 +4,9 @@ Every template is aligned with the stretch of the text that holds most of its wo
 that occur once in both are anchors, the longest increasing subsequence of the anchors'
 places is kept, and the gaps between them are aligned in the same way; a gap without
 anchors is aligned word by word from both ends. Coverage is the share of the template's
-words that are aligned; ``LEAST`` of them make a find.
+words that are aligned; ``LEAST`` of them make a find, if those that name the license, its
+version or its terms are among them. Terms that leave this open (a BSD header without its
+conditions, a license without its version) name none.
 
 A text is aligned only with templates that could reach that coverage, as told by the
 distinct words that both have; this holds back no possible find.
@@ -23,36 +25,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST, STRETCH = 0.8, 1.5
-#: Name -> notices by which the license is known.
+#: Name -> notices by which the license is known. What stands in [[ ]] names the license, its version
+#: or its terms and must be found as it is, word after word.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
+        "Released under the [[MIT License]].",
+        "Licensed under the [[MIT License]].",
+        "[[Permission is hereby granted]], free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
         "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so",
     ],
     "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Licensed under the [[Apache License, Version 2.0]].",
+        "Licensed under the [[Apache License, Version 2.0]]; you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    ],
+    # the conditions, as they end and go on, tell how many they are
+    "BSD-2-Clause": [
+        "Licensed under the [[BSD 2-Clause]] License.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials [[provided with the distribution. THIS SOFTWARE IS PROVIDED BY]]",
     ],
     "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Licensed under the [[BSD 3-Clause]] License.",
+        *(
+            f"and/or other materials [[provided with the distribution. {n}Neither the name]] of the copyright holder nor the names of its contributors may be used to "
+            "[[endorse or promote products]] derived from this software without specific prior written permission"
+            for n in ("", "3. ")
+        ),
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
-        "Free Software Foundation, either version 3 of the License, or any later version.",
+    "ISC": [
+        "Licensed under the [[ISC License]].",
+        "Permission to [[use, copy, modify, and/or distribute this software for any purpose with or without fee]] is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.",
     ],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related rights to the public domain."],
+    "MPL-2.0": [f"This Source Code Form is subject to the terms of the [[Mozilla Public License, {v} 2.0]]." for v in ("v.", "version")],
+    "EPL-2.0": [f"made available under the terms of the [[Eclipse Public License {v}]]" for v in ("2.0", "v2.0", "v. 2.0", "version 2.0")],
+    "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related rights to the [[public domain]]."],
+    "Unlicense": ["This is free and [[unencumbered software released into the public domain]]."],
     "proprietary": ["All rights reserved."],
 }
+for _name, _title, _n in (
+    ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+):
+    _versions = [f"{v}{n}" for v in ("version ", "v") for n in dict.fromkeys((_n, _n if "." in _n else f"{_n}.0"))]
+    TEMPLATES[_name] = [
+        *(f"This {what} is licensed under the [[GNU {_title} Public License, {v}]]." for what in ("work", "library") for v in _versions),
+        *(f"Licensed under the [[GNU {_title} Public License, {v}]]." for v in _versions),
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the [[GNU {_title} Public License]] as published by the "
+        f"Free Software Foundation, either [[version {_n}]] of the License, or any later version.",
+    ]
+for _terms, _long in (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    for _n, _where in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES[f"CC-{_terms}-{_n}"] = [
+            f"Licensed under [[CC {_terms} {_n}]].",
+            *(f"This work is licensed under a [[Creative Commons {x} {_n}]] {_where} License." for x in dict.fromkeys((_long, _long.replace("NoDerivatives", "NoDerivs")))),
+        ]
+for _name, _notices in TEMPLATES.items():
+    if _name != "proprietary":
+        _notices.append(f"Licensed under the [[{_name}]] License.")
+_NAMED = re.compile(r"\[\[(.*?)\]\]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -64,6 +98,17 @@ def words(text: str | None) -> list[str]:
     return [w for x in (text or "").split() if (w := norm(x))]
 
 
+def marked(notice: str) -> tuple[list[str], list[range]]:
+    """The words of a notice, and the places of those that stand in [[ ]]."""
+    out, named = [], []
+    for k, part in enumerate(_NAMED.split(notice)):
+        own = words(part)
+        if k % 2:
+            named.append(range(len(out), len(out) + len(own)))
+        out += own
+    return out, named
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs (ascending in the first place) that ascends in the second too."""
     tails: list[int] = []
@@ -117,7 +162,8 @@ def _counted(x: list[str], i: int, j: int) -> list[tuple[str, int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], least: float = LEAST):
         self.least = least
-        self.names, self.texts = zip(*((name, words(t)) for name, each in templates.items() for t in each))
+        self.names, notices = zip(*((name, marked(t)) for name, each in templates.items() for t in each))
+        self.texts, self.named = zip(*notices)
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in self.texts for w in t}))}
         self.member = np.zeros((len(self.texts), len(self.vocabulary)), np.int64)
         for k, t in enumerate(self.texts):
@@ -148,6 +194,11 @@ class Scanner:
             out.append(self._best(own, able) if len(able) else [])
         return out
 
+    def _names(self, pairs: list[tuple[int, int]], t: int) -> bool:
+        """Whether what names the license is aligned, without words put in."""
+        at = {y: x for x, y in pairs}
+        return all(y in at and at[y] - at[each[0]] == y - each[0] for each in self.named[t] for y in each)
+
     def _best(self, own: np.ndarray, able: np.ndarray) -> list[tuple[str, float, int, int]]:
         found: dict[str, tuple[float, int, int, int]] = {}
         for t in able:
@@ -165,7 +216,7 @@ class Scanner:
                 stretch = own[start : start + 2 * width].tolist()
                 pairs = align(stretch, template)
                 coverage = len(pairs) / len(template)
-                if coverage >= self.least:
+                if coverage >= self.least and self._names(pairs, t):
                     a, b = pairs[0][0], pairs[-1][0]
                     top = max(top, (coverage, len(template), -(start + a), b - a + 1))
                     done = start + b

@@ -129,6 +129,31 @@ def test_licenses_found_and_clean_texts_left(spark):
     assert licenses.licenses(spark.createDataFrame([], DOCS)).collect() == []
 
 
+@pytest.mark.parametrize("text, name", [
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("Licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    ("This library is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("This work is licensed under the GNU General Public License, version 1.", None),
+    ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), ("Licensed under the BSD 4-Clause License.", None),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY 3.0.", "CC-BY-3.0"), ("Licensed under CC BY 2.5.", None), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution Non-Commercial 4.0 International License.", None), ("Licensed under the ISC License.", "ISC"),
+    ("Licensed under the Apache License.", None), ("released under the new license", None), ("Licensed under the Apache-2.0 License", "Apache-2.0"), ("All rights reserved.", "proprietary"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", None),
+    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE AUTHORS", "BSD-2-Clause"),
+    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the Some University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE AUTHORS", "BSD-3-Clause"),
+])
+def test_the_words_that_name_a_license_decide(text, name):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for t in (text, f"some words first\n{text}\nother words then"):
+        assert [x[0] for x in scanner.scan(pa.array([t]))[0]] == ([name] if name else [])
+
+
+def test_every_notice_is_found_under_its_own_name():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, each in licenses.TEMPLATES.items():
+        for t in each:
+            assert scanner.scan(pa.array([t]))[0][0][:2] == (name, 1.0), t
+
+
 def plain_lines(texts, least):
     from collections import Counter
     from hashlib import sha256
