@@ -4,7 +4,7 @@ Training collects, per language, the letter n-grams (2 to 4 letters, words padde
 space) with the share of sampled documents that hold them. An n-gram belongs to every
 language where this share is at least ``SHARE`` of its highest share in any language and
 ``MIN_DOCS`` documents hold it. All languages are kept in one bit-sliced Bloom filter: a table of words, one bit
-per language; an n-gram sets its languages' bits at ``HASHES`` places, and the AND of
+per language (a table for every 64); an n-gram sets its languages' bits at ``HASHES`` places, and the AND of
 those places returns every language that contains it, all at once.
 
 Scoring counts, per language, the n-grams of the whole text that the filter gives to it
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, fraction
@@ -62,42 +62,68 @@ def places(codes: np.ndarray) -> list[np.ndarray]:
 
 
 class Model:
-    """The bit-sliced filter, its languages and their false-positive rates."""
+    """The bit-sliced filter, its languages and their false-positive rates.
+
+    ``slots`` has a row of words for every 64 languages.
+    """
 
     def __init__(self, languages: list[str], members: list[np.ndarray]):
         self.languages = languages
-        self.slots = np.zeros(SLOTS, np.uint64)
+        self.learned = any(map(len, members))
+        self.slots = np.zeros((-(-len(languages) // 64) or 1, SLOTS), np.uint64)
         for k, codes in enumerate(members):
             for at in places(codes):
-                self.slots[at] |= np.uint64(1 << k)
-        self.false = np.array([((self.slots >> np.uint64(k)) & np.uint64(1)).mean() ** HASHES for k in range(len(languages))])
+                self.slots[k // 64, at] |= np.uint64(1 << k % 64)
+        self.false = np.array([((self.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() ** HASHES for k in range(len(languages))])
+
+    def slices(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Bit masks of languages for each n-gram, one array for every 64 languages."""
+        at = places(codes)
+        out = []
+        for slots in self.slots:
+            mask = slots[at[0]]
+            for x in at[1:]:
+                mask = mask & slots[x]
+            out.append(mask)
+        return out
 
     def languages_of(self, codes: np.ndarray) -> np.ndarray:
-        """A bit mask of languages for each n-gram."""
-        a, *rest = places(codes)
-        out = self.slots[a]
-        for at in rest:
-            out = out & self.slots[at]
-        return out
+        """A bit mask of the first 64 languages for each n-gram."""
+        return self.slices(codes)[0]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of the evidence for all languages, and the share of the text's n-grams that it knows."""
         codes = grams(text)
         if not len(codes) or not self.languages:
-            return "und", 0.0
-        score = np.zeros(len(self.languages))
+            return "und", 0.0, 0.0
+        score, hits = np.zeros((2, 64 * len(self.slots)))
         for at in range(0, len(codes), 1 << 16):  # whole texts, bounded working memory
-            part = self.languages_of(codes[at : at + (1 << 16)])
-            masks, n = np.unique(part, return_counts=True)
-            for m, c in zip(masks.tolist(), n.tolist()):
-                if many := m.bit_count():
-                    w = c * (1 / many - 1 / len(self.languages)) if len(self.languages) > 1 else c
-                    for k in range(len(self.languages)):
-                        if m >> k & 1:
-                            score[k] += w
+            part = self.slices(codes[at : at + (1 << 16)])
+            many = sum(np.bitwise_count(x).astype(np.int64) for x in part) if len(part) > 1 else None
+            for s, own in enumerate(part):
+                if many is None:
+                    masks, n = np.unique(own, return_counts=True)
+                    w = n * self._weight(np.bitwise_count(masks))
+                else:
+                    masks, inverse, n = np.unique(own, return_inverse=True, return_counts=True)
+                    w = np.bincount(inverse, self._weight(many), len(masks))
+                bits = (masks[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+                score[64 * s : 64 * s + 64] += w @ bits
+                hits[64 * s : 64 * s + 64] += n @ bits.astype(np.int64)
+        score, hits = score[: len(self.languages)], hits[: len(self.languages)]
         sure = np.maximum(0.0, (score - len(codes) * self.false) / (1 - self.false))
         k = int(np.argmax(sure if sure.any() else score))
         total = float(sure.sum())
-        return self.languages[k], float(sure[k] / total) if total else 0.0
+        known = (hits[k] / len(codes) - self.false[k]) / (1 - self.false[k])
+        return self.languages[k], float(sure[k] / total) if total else 0.0, float(max(known, 0.0))
+
+    def _weight(self, many: np.ndarray) -> np.ndarray:
+        """The weight of an n-gram that so many languages have."""
+        w = 1 / np.maximum(many, 1).astype(np.float64)
+        return np.where(many > 0, w - 1 / len(self.languages) if len(self.languages) > 1 else w, 0.0)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -105,16 +131,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     Each language gives a random sample of about ``sample`` documents, chosen by a hash of the text; the
     n-grams of the sample are counted on the executors and at most ``MOST`` per language,
-    by document frequency, reach the driver. At most 64 languages, the most frequent.
+    by document frequency, reach the driver. All languages are learned.
     """
     d = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    counts = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], [])
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (fraction("text") < sample / n))
+    spark = docs.sparkSession
+    shares = F.broadcast(spark.createDataFrame([(x, sample / n) for x, n in counts.items()], "lang string, share double"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,15 +153,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     ["lang", "gram", "docs", "texts"],
                 )
 
-    found = d.where(keep).mapInArrow(count, "lang string, gram long, docs long, texts long").persist()
+    kept = d.join(shares, "lang").where(fraction("text") < F.col("share")).select("text", "lang")
+    found = kept.mapInArrow(count, "lang string, gram long, docs long, texts long").persist()
     texts = {r["lang"]: r["t"] for r in found.groupBy("lang").agg(F.sum("texts").alias("t")).collect()}
-    per = found.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("docs")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(languages)])
-    rate = [F.col(f"c{k}") / float(max(texts.get(x, 0), 1)) for k, x in enumerate(languages)]
-    most = F.greatest(*rate, F.lit(0.0))
+    sampled = F.broadcast(spark.createDataFrame([(x, float(max(texts.get(x, 0), 1))) for x in languages], "lang string, texts double"))
+    per = found.groupBy("gram", "lang").agg(F.sum("docs").alias("c")).join(sampled, "lang").withColumn("rate", F.col("c") / F.col("texts"))
+    most = F.max("rate").over(Window.partitionBy("gram"))
+    per = per.withColumn("most", most).where((F.col("c") >= MIN_DOCS) & (F.col("rate") >= SHARE * F.col("most"))).select("lang", "gram", "c").persist()
     members = []
-    per = per.persist()
-    for k in range(len(languages)):
-        rows = per.where((F.col(f"c{k}") >= MIN_DOCS) & (rate[k] >= SHARE * most)).orderBy(F.desc(f"c{k}"), "gram").limit(MOST).select("gram").collect()
+    for x in languages:
+        rows = per.where(F.col("lang") == x).orderBy(F.desc("c"), "gram").limit(MOST).select("gram").collect()
         members.append(np.array([r[0] for r in rows], np.int64).view(np.uint64))
     per.unpersist()
     found.unpersist()

@@ -109,6 +109,21 @@ def test_filter_returns_all_languages_and_few_others():
     assert (rest > 0).mean() < 0.01
 
 
+def invented(rng, letters, n):
+    return " ".join("".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(n))
+
+
+def test_more_than_64_languages_are_all_learned(spark):
+    rng = random.Random(6)
+    names = [f"l{k:02}" for k in range(70)]
+    letters = {x: "".join(chr(0x4E00 + 20 * k + i) for i in range(6)) for k, x in enumerate(names)}
+    rows = [(70 * i + k, invented(rng, letters[x], 30), x) for i in range(6) for k, x in enumerate(names)]
+    model = language.train(spark.createDataFrame(rows, DOCS))
+    assert model.languages == names and model.slots.shape[0] == 2
+    for x in names:
+        assert model.predict(invented(rng, letters[x], 30))[0] == x
+
+
 def test_patience_alignment():
     a, b = "x the quick brown fox the end y".split(), "the quick red fox the end".split()
     pairs = licenses.align(a, b)
