@@ -199,19 +199,26 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without those whose language cannot be told: no letters, or a score below ``least``.
+    """``docs`` without those that fit no learned language: no letters, or less than ``least`` of their n-grams known to the likeliest.
 
-    The model learns from the rows that are not held out; all columns are kept as they are.
+    Languages that share their n-grams do not take them from each other. Where nothing was
+    learned only documents without letters go. The model learns from the rows that are not
+    held out; all columns are kept as they are.
     """
     model = train(docs.where(~held_out()))
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    def fits(text: str | None) -> bool:
+        if not held.value.learned:
+            return len(grams(text)) > 0
+        lang, _, known = held.value.judge(text)
+        return lang != "und" and known >= least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                got = map(held.value.predict, batch.column(at).to_pylist())
-                yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+                yield batch.filter(pa.array([fits(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -124,6 +124,16 @@ def test_more_than_64_languages_are_all_learned(spark):
         assert model.predict(invented(rng, letters[x], 30))[0] == x
 
 
+def test_documents_stay_among_labels_that_are_alike(spark):
+    rng = random.Random(8)
+    words = [invented(rng, "abcdefgh", 1) for _ in range(60)]
+    text = lambda: " ".join(rng.choices(words, k=40))
+    rows = [(i, text(), f"en-{i % 5}") for i in range(200)] + [(200, "zyx wvu zzyw xxuv " * 9, None), (201, "1 2 3", None)]
+    assert sorted(r.doc_id for r in language.accepted(spark.createDataFrame(rows, DOCS)).collect()) == list(range(200))
+    bare = spark.createDataFrame([(1, "some words", None), (2, "12", None), (3, None, None)], DOCS)
+    assert [r.doc_id for r in language.accepted(bare).collect()] == [1]
+
+
 def test_patience_alignment():
     a, b = "x the quick brown fox the end y".split(), "the quick red fox the end".split()
     pairs = licenses.align(a, b)
