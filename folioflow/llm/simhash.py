@@ -118,8 +118,8 @@ def _prints_and_bands(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.int64()), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "fp", "s", "bands"])
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """``row, doc_id, fp, root`` of every row of ``rows (row, doc_id, text)``; near copies share a root.
+def firsts(rows: DataFrame) -> DataFrame:
+    """The ``row`` of the first of each group of near copies among ``rows (row, doc_id, text)``: by doc_id, nulls last, then by row.
 
     Near copies are texts whose fingerprints link and texts whose sets of five-word
     shingles have a Jaccard similarity of 0.8 or more.
@@ -133,17 +133,18 @@ def groups(rows: DataFrame) -> DataFrame:
     ties = prints.select("s", "fp").distinct().join(of, "s").where("fp <> to").select(F.col("fp").alias("u"), F.col("to").alias("v"))
     across = alike.join(of.select(F.col("s").alias("u"), F.col("to").alias("a")), "u").join(of.select(F.col("s").alias("v"), F.col("to").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(links(prints.select("fp").distinct()).union(ties).union(across))
-    return prints.select("row", "doc_id", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("row", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    each = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return each.select("first.row")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
+    """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays. Rows without a doc_id stay only if their
-    whole group has none.
+    Rows are known by their place and not by doc_id: of repeated rows one stays, different
+    texts under one doc_id are documents of their own, and a row without a doc_id stays
+    only if its whole group has none, one of the group then.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    named = groups(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = named.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    found = firsts(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return rows.join(found.withColumnRenamed("row", "__row"), "__row", "left_semi").select(*docs.columns)

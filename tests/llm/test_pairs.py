@@ -187,3 +187,10 @@ def test_near_copies_beyond_two_bits_go(spark, few, centres):
     assert closure(want, [(of[r.u], of[r.v]) for r in got]) == want
     kept = simhash.keep_first(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a, ""), (None, a, ""), (None, b, ""), (1, b, ""), (2, b, ""), (2, c, ""), (2, c, ""), (2, d, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", b), ("2", c), ("2", d), ("None", a)]
