@@ -16,12 +16,12 @@ from .common import WORD, ranked, written
 WEIGHTS, TOTAL, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``: the words of each whole text (null: none)."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, source, size`` and the columns ``more``: the words of each whole text (null: none)."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more,
+    )
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -54,31 +54,32 @@ def mixed(docs: DataFrame, split_last: bool = True, **options) -> DataFrame:
     source is a source of its own (last in order); a null doc_id lies in its place by a
     fixed key; repeated rows are documents of their own.
     """
-    d = written(sized(docs), "sizes")
+    return _planned(sized(docs), split_last, **options).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _planned(sizes: DataFrame, split_last: bool, **options) -> DataFrame:
+    """``sizes (doc_id, source, size, ...)`` with ``source_size, target, taken``; further columns break ties."""
+    d = written(sizes, "sizes")
     per_source = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), **options), "targets")
     key = F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     rows = d.select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("__source"), draw.alias("__draw"))
-    rows = ranked(rows, ["__source"], "__draw", ["doc_id", "size"], {"__start": "size"}, d.count())
+    rows = ranked(rows, ["__source"], "__draw", ["doc_id", "size", *d.columns[3:]], {"__start": "size"}, d.count())
     t = per_source.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("__source"), "source_size", "target")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long")
     left = F.floor("target").cast("long") - epochs * F.col("source_size") - F.col("__start")
     part = F.greatest(F.lit(0).cast("long"), F.least(left, "size"))
     if not split_last:
         part = F.when(2 * part > F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
-    return rows.join(t, "__source").select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
+    return rows.join(t, "__source").select(*d.columns, "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each document as often as the mix takes it, whole each time.
 
-    Documents are known by (doc_id, source, size); all that agree in these three lie at
-    one place of the mix and are taken alike, as often as the first of them.
+    Every row is a document of its own, whatever its doc_id.
     """
-    plan = mixed(docs, split_last=False, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    times = plan.where("size > 0 and taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__times")
-    )
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    return docs.join(times, on).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    plan = _planned(sized(rows, "__row"), False, **options)
+    times = plan.where("size > 0 and taken > 0").select("__row", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    return rows.join(times, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -100,6 +100,16 @@ def test_mix_edges(spark):
     assert mixing.mixed(spark.createDataFrame([], DOCS)).collect() == [] == mixing.mix(spark.createDataFrame([], DOCS)).collect()
 
 
+def test_rows_without_ids_are_mixed_one_by_one(spark):
+    rows = [(None, f"{k} b c d", "a", 0, 0) for k in range(60)] + [(7, f"{k} b c d", "b", 0, 0) for k in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    plan = mixing.mixed(df, split_last=False, max_epochs=3).collect()
+    out = mixing.mix(df, max_epochs=3).collect()
+    for s in "ab":
+        target = next(r.target for r in plan if r.source == s)
+        assert abs(4 * sum(r.source == s for r in out) - target) <= 4
+
+
 def test_ranked_is_a_running_sum(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice("aab"), rng.random(), rng.randrange(9)) for k in range(500)]
