@@ -7,7 +7,8 @@ them placeholders, are hash-joined with the windows of every document, and so ar
 windows without placeholders, which meet copies whose names have lost their capitals; the benchmark is
 the small side, held in blocks of a checked size, and every block meets every document.
 Matches of one item are put together along the text; what stood in the placeholders
-must map one to one between item and document, else the contradicting windows go.
+of an item must map to one value of the document each, else the contradicting windows go;
+two values of the item may become one.
 An item is found where the consistent windows are at least 0.8 of its windows, or where
 so many follow each other that 13 words agree.
 """
@@ -189,10 +190,9 @@ class Index:
                     if (slot := self.slots.get((item, int(pos[k]) + j))) is not None:
                         pairs.setdefault(int(k), []).append((slot, w.text(int(at[k]) + j)))
             votes = Counter(x for each in pairs.values() for x in each)
-            there, back = {}, {}
+            there = {}
             for (a, b), _ in votes.most_common():
-                if a not in there and (a[0], b) not in back:
-                    there[a], back[a[0], b] = b, a
+                there.setdefault(a, b)
             kept = [k for k in part if all(there.get(a) == b for a, b in pairs.get(int(k), ()))]
             seen = np.unique(pos[kept])
             if not len(seen):

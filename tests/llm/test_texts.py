@@ -256,6 +256,13 @@ def test_slots_must_map_one_to_one():
     assert a[0][2] == 1.0 and (not b or b[0][2] < 1.0)
 
 
+def test_two_slots_may_hold_one_value():
+    item = "add the 3 red ones to the 5 blue ones then count all of them now"
+    index = decontaminate.Index([1], [item])
+    got = index.hits(decontaminate.Words(pa.array([item.replace("3", "4").replace("5", "4")])))
+    assert [x[2] for x in got] == [1.0]
+
+
 def test_every_planted_item_is_found_and_nothing_else(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
