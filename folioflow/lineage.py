@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_marked: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,16 +35,55 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a local session gets a temporary one; on a cluster that is an error, as
+    executors would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/folioflow-{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        at, fs = _located(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _marked.add(path)
+    return path
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _located(spark, path)
+    return fs.exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at, fs = _located(spark, path)
+    fs.delete(at, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all that this application wrote here; results that were not read to their end go with it."""
+    at, fs = _located(spark, path := own_dir(spark))
+    fs.delete(at, True)
+    _marked.discard(path)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -57,15 +97,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    shared = shared_dir(spark).removeprefix("file://")
-    jvm = spark._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if shared in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`written` once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        own = own_dir(spark).removeprefix("file://")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if own in folder:
+                at, fs = _located(spark, folder)
+                fs.delete(at, True)
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
