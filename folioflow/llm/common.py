@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from folioflow.lineage import dropped, fresh_path, written  # noqa: F401
 
 #: ASCII bytes A-Z to a-z; everything else stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of texts that a Python worker takes up at a time.
+PORTION = 4 << 20
 #: Java form of a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,23 +25,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def portions(batch: pa.RecordBatch, size: int = PORTION, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes in all columns of texts together, of one row at least and ``rows`` at most.
+
+    The session's batch size counts rows and a text may be very long, so this bounds what
+    a worker holds besides the batch: a single very long text, or ``size`` bytes.
+    """
+    n = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            n += pc.fill_null(pc.binary_length(column), 0).to_numpy(False)
+    ends, at = np.cumsum(n), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        end = min(end, at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def by_batch(df: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns; ``function`` maps one record batch to one or none.
 
-    Batches of texts are cut to a bounded number of rows here, as the session's batch
-    size counts rows and a text may be very long.
+    Batches of texts are cut to :func:`portions` here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                out = function(batch.slice(at, 512))
+        for whole in batches:
+            for batch in portions(whole):
+                out = function(batch)
                 if out is not None and out.num_rows:
                     yield out
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that the table does not have, whatever its letters' case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fraction(*columns) -> F.Column:
     """A reproducible pseudo-random double in [0, 1) made from the columns' values."""
     return F.pmod(F.xxhash64(F.lit("draw"), *columns), F.lit(1 << 52)).cast("double") / float(1 << 52)

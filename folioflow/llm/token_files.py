@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import by_batch, fresh_path
+from .common import by_batch, fresh_path, portions
 
-TOKENIZER, END, CACHE, POOL, PORTION = "word_bpe_49k.json", 2, 250_000, 4_000_000, 4 << 20
+TOKENIZER, END, CACHE, POOL = "word_bpe_49k.json", 2, 250_000, 4_000_000
 SCHEMA = "shard int, doc_id long, at long, n_tokens int, ids array<int>"
 #: Row groups of about 16 MB, pages of at most 64 KB or 2,000 rows.
 LAYOUT = {
@@ -137,16 +137,6 @@ class WordEncoder:
         return out, np.diff(np.concatenate([[0], text_ends])) + 1
 
 
-def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``size`` bytes in the column of texts, of one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -169,7 +159,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, words = 0, encoder(tokenizer)
         for whole in batches:
-            for batch in portions(whole, 1, PORTION):
+            for batch in portions(whole, rows=1 << 20):
                 flat, n = words.encode(batch.column(1), end)
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
@@ -214,7 +204,9 @@ def digests(tokens: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """Write the token files into the shared folder and return what they hold per document.
 
-    A null or empty text is the end id alone; an empty table gives no rows.
+    A null or empty text is the end id alone; a null doc_id comes first; equal ids lie by their
+    text's hash; repeated rows are documents of their own; very long texts are taken one by
+    one; other columns are not read; an empty table gives no rows.
     """
     path = fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end)
