@@ -6,31 +6,38 @@ as its correction factor. ``<code, other> / factor`` is an unbiased estimate of
 any other vector, with a confidence bound that depends on the factor and the dimension
 alone; only pairs whose bound reaches the threshold are computed anew in double precision.
 
-Candidates: the signs of further rotations are cut into ``tables`` keys of ``bits`` bits.
-Both numbers follow from the largest label: buckets hold about 32 vectors by chance and a
-pair at the threshold misses all tables with a probability below ``MISS``. Equal
-vectors are one class throughout. Buckets are laid out with ids alone; vectors are attached
-once it is known which of them meet another. A bucket of more than ``CHUNK`` classes is split into chunks and
-each pair of chunks is a unit of its own, so no task holds a large bucket, and nothing but
-one row per class and unit leaves it: how many vectors the class links to and a
-representative of its links there. A pair that meets in several tables counts in the first alone.
+Candidates: the signs of further rotations are cut into ``tables`` keys of ``bits`` bits, so
+many that a pair at the threshold misses all tables with a probability below ``MISS``. Each
+label gets the numbers that cost least for its own vectors, by the sizes of the groups
+that prefixes of their signs make: labels whose vectors crowd in one place get more bits.
+A bucket that is large all the same is split into chunks of ``CHUNK`` classes (equal vectors are
+one class throughout), each pair of chunks a unit of its own, so no task holds a large bucket.
+
+Estimates come first: what travels to the units is ids, codes, factors and the rotated
+vectors in 8 bits a component, whose rounding widens the bound. Classes with a pair inside the bound are then
+sent to their units once more with the vectors themselves. Nothing but one row per class and unit leaves a unit: how
+many vectors the class links to and a representative of its links there. A pair that meets
+in several tables counts in the first alone.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, written
+from .common import components, dropped, written
 
-THRESHOLD, MISS, BUCKET, CHUNK, SURE = 0.98, 1e-4, 32, 512, 5.0
+THRESHOLD, MISS, CHUNK, SURE = 0.98, 1e-4, 2048, 5.0
+#: Numbers of bits that a label may get, and what a class in a bucket costs in comparisons.
+BITS, PLACE = tuple(range(4, 41, 2)), 1024
 
 
 @lru_cache(maxsize=64)
@@ -39,19 +46,21 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def layout(largest: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """``(bits, tables)`` for labels of at most ``largest`` classes."""
-    bits = min(48, max(4, math.ceil(math.log2(max(largest, 1) / BUCKET)) if largest > BUCKET else 4))
+def tables_of(bits: int, threshold: float = THRESHOLD) -> int:
+    """Tables in which a pair at the threshold meets with a probability of 1 - ``MISS``."""
     alike = 1 - math.acos(threshold) / math.pi
-    return bits, math.ceil(math.log(MISS) / math.log(1 - alike**bits))
+    return math.ceil(math.log(MISS) / math.log(1 - alike**bits))
 
 
-def keys_of(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(n, tables) bucket keys of unit vectors, from the signs of as many rotations as needed."""
+def signs_of(unit: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n) signs of unit vectors, from as many rotations as needed."""
     dim = unit.shape[1]
-    signs = np.concatenate([unit @ rotation(dim, 1 + s) > 0 for s in range(math.ceil(bits * tables / dim))], axis=1)
-    signs = signs[:, : bits * tables].reshape(len(unit), tables, bits)
-    return signs @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    return np.concatenate([unit @ rotation(dim, 1 + s) > 0 for s in range(math.ceil(n / dim))], axis=1)[:, :n]
+
+
+def keys_of(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """(n, tables) bucket keys of unit vectors."""
+    return signs_of(unit, bits * tables).reshape(len(unit), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
 def codes_of(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,24 +69,43 @@ def codes_of(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(r > 0, axis=1), np.abs(r).sum(axis=1) / math.sqrt(unit.shape[1])
 
 
-def estimates(code: np.ndarray, factor: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines (coded vectors by rows of ``other``), and how far each coded vector's may be off."""
-    dim = other.shape[1]
+def rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rotated unit vectors in signed bytes, and the size of a step of each."""
+    r = unit @ rotation(unit.shape[1], 0)
+    step = np.abs(r).max(axis=1) / 127
+    return np.rint(r / step[:, None]).astype(np.int8), step
+
+
+def bounds(factor: np.ndarray, dim: int) -> np.ndarray:
+    """How far each coded vector's estimates may be off."""
+    return SURE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(dim - 1, 1))
+
+
+def estimates(code: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> np.ndarray:
+    """Estimated cosines of coded vectors (rows) with rotated ones (columns)."""
+    dim = rotated.shape[1]
     signs = (np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
-    bound = SURE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(dim - 1, 1))
-    return (signs @ (other @ rotation(dim, 0)).T.astype(np.float32)) / factor[:, None].astype(np.float32), bound.astype(np.float32)
+    return (signs @ rotated.T.astype(np.float32)) / factor[:, None].astype(np.float32)
+
+
+def candidates(code: np.ndarray, factor: np.ndarray, other: np.ndarray, step: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (coded vector, rounded vector) whose bound reaches the threshold.
 
+    Rounding moves a component by half a step at most and the code's components are 1 / sqrt(dim) each.
+    """
+    dim = other.shape[1]
+    estimate = estimates(code, factor, other * step[:, None].astype(np.float32))
+    slack = bounds(factor, dim)[:, None] + (math.sqrt(dim) / 2) * step[None, :] / factor[:, None] + 1e-4
+    return np.nonzero(estimate + slack >= threshold)
 
-def links_between(a: np.ndarray, b: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors (rows of a and b) whose cosine reaches the threshold; ``code`` and ``factor`` are a's."""
-    estimate, bound = estimates(code, factor, b)
-    i, j = np.nonzero(estimate + bound[:, None] >= threshold - 1e-4)
-    exact = np.empty(len(i))
+
+def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines in doubles of the pairs (a[i], b[j]) of unit vectors."""
+    out = np.empty(len(i))
     for at in range(0, len(i), 1 << 15):
         s = slice(at, at + (1 << 15))
-        exact[s] = np.einsum("ij,ij->i", a[i[s]], b[j[s]])
-    hit = exact >= threshold
-    return i[hit], j[hit]
+        out[s] = np.einsum("ij,ij->i", a[i[s]], b[j[s]])
+    return out
 
 
 def _rows(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
@@ -86,7 +114,7 @@ def _rows(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
     for v in batch.column(2).to_pylist():
         x = None if v is None or any(y is None for y in v) else np.asarray(v, kind)
         good = x is not None and len(x) and np.isfinite(x).all() and x.any()
-        out.append(x.tobytes() if good else None)
+        out.append((x + 0).tobytes() if good else None)  # no negative zeros
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "key"])
 
 
@@ -96,35 +124,130 @@ def unit_vectors(keys: list[bytes], kind: str) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _tile(rows: list[dict], i: int, j: int, kind: str, threshold: float) -> list[tuple[int, int, int]]:
-    """(class, vectors linked, representative) of the links inside one chunk or between two."""
-    chunk = np.array([r["chunk"] for r in rows])
-    unit = unit_vectors([r["key"] for r in rows], kind)
-    earlier = np.array([r["earlier"] for r in rows], np.int64)  # keys in the tables before this one
-    code, factor = np.frombuffer(b"".join(r["code"] for r in rows), np.uint8).reshape(len(rows), -1), np.array([r["factor"] for r in rows])
-    n = np.array([r["n"] for r in rows], np.int64)
-    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    a, b = links_between(unit[left], unit[right], code[left], factor[left], threshold)
-    a, b = left[a], right[b]
-    if i == j:
-        a, b = a[a < b], b[a < b]
-    new = ~(earlier[a] == earlier[b]).any(axis=1)
-    a, b = a[new], b[new]
-    if not len(a):
-        return []
-    count = np.bincount(a, n[b], len(rows)) + np.bincount(b, n[a], len(rows))
-    root = np.arange(len(rows))
-    while True:  # smallest reachable position, by halving paths
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        for end in (a, b):
-            np.minimum.at(root, root[end], low)
-            np.minimum.at(root, end, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    ids = [r["cid"] for r in rows]
-    return [(ids[k], int(count[k]), ids[root[k]]) for k in np.flatnonzero(count)]
+def _each_pair(left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of rows to be held against each other; in one chunk each pair once."""
+    for k in range(0, len(left), 512):
+        yield left[k : k + 512], right[k:] if same else right
+
+
+UNIT = ["label", "dim", "t", "h", "i", "j"]
+POSSIBLE = [*UNIT, "chunk", "cid", "bits"]
+
+
+def _units(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each unit in batches that are sorted by units."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if sum(x.num_rows for x in held) > 1:
+            table = pa.Table.from_batches(held)
+            if (found := work(table)) is not None:
+                yield from found.combine_chunks().to_batches()
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for c in UNIT:
+            x = batch.column(c)
+            if held:
+                new[0] |= held[-1].column(c)[-1] != x[0]
+            new[1:] |= pc.not_equal(x.slice(1), x.slice(0, n - 1)).to_numpy(False)
+        cuts = [0, *np.flatnonzero(new).tolist(), n]
+        for i, j in zip(cuts, cuts[1:]):
+            if new[i]:
+                yield from done()
+                held = []
+            if j > i:
+                held.append(batch.slice(i, j - i))
+    yield from done()
+
+
+def _stacked(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), kind).reshape(table.num_rows, -1)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    chunk = table["chunk"].to_numpy()
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    return np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), i == j
+
+
+def _possible(table: pa.Table, threshold: float) -> pa.Table:
+    """The classes of a unit that have a pair inside the bound there."""
+    code, other = _stacked(table, "code", np.uint8), _stacked(table, "rounded", np.int8)
+    factor, step = (table[c].to_numpy().astype(np.float64) for c in ("factor", "step"))
+    some = np.zeros(table.num_rows, bool)
+    left, right, same = _sides(table)
+    for a, b in _each_pair(left, right, same):
+        i, j = candidates(code[a], factor[a], other[b], step[b], threshold)
+        real = a[i] != b[j]
+        some[a[i[real]]] = True
+        some[b[j[real]]] = True
+    return table.select(POSSIBLE).take(np.flatnonzero(some))
+
+
+def _linked(table: pa.Table, kind: str, threshold: float) -> pa.Table | None:
+    """``cid, links, root``: vectors linked and a representative, of the links in a unit that no earlier table has."""
+    unit = unit_vectors(table["key"].to_pylist(), kind)
+    code, factor = codes_of(unit)
+    other, step = rounded(unit)
+    bits, t = table["bits"][0].as_py(), table["t"][0].as_py()
+    earlier = keys_of(unit, bits, t) if t else np.zeros((len(unit), 0), np.int64)
+    n = table["n"].to_numpy()
+    left, right, same = _sides(table)
+    count, root = np.zeros(len(unit), np.int64), np.arange(len(unit))
+    for x, y in _each_pair(left, right, same):
+        i, j = candidates(code[x], factor[x], other[y], step[y], threshold)
+        a, b = x[i], y[j]
+        if same:
+            a, b = a[a < b], b[a < b]
+        hit = exact(unit, unit, a, b) >= threshold
+        a, b = a[hit], b[hit]
+        new = ~(earlier[a] == earlier[b]).any(axis=1)
+        a, b = a[new], b[new]
+        np.add.at(count, a, n[b])
+        np.add.at(count, b, n[a])
+        while len(a):  # smallest reachable position, by halving paths
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            for end in (a, b):
+                np.minimum.at(root, root[end], low)
+                np.minimum.at(root, end, low)
+            root = root[root]
+            if (root == before).all():
+                break
+    some = np.flatnonzero(count)
+    if not len(some):
+        return None
+    ids = table["cid"].to_numpy()
+    return pa.table({"cid": ids[some], "links": count[some], "root": ids[root[some]]})
+
+
+def layouts(classes: DataFrame, kind: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``label, dim, bits`` with the least cost for each label (and length of vector) of ``classes``.
+
+    A class is sent to ``tables_of(bits)`` buckets; how many others it is held against there
+    is read off the groups that have the first ``bits`` signs in common.
+    """
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                each, got = batch.column(1).to_pylist(), np.zeros(min(1024, whole.num_rows - k), np.int64)
+                for size in {len(x) for x in each}:
+                    at = [p for p, x in enumerate(each) if len(x) == size]
+                    got[at] = signs_of(unit_vectors([each[p] for p in at], kind), BITS[-1]) @ (np.int64(1) << np.arange(BITS[-1], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in each], pa.int32()), pa.array(got)], ["label", "dim", "signs"])
+
+    signs = classes.select("label", "key").mapInArrow(prefixes, "label string, dim int, signs long")
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.col("signs").bitwiseAND(F.lit((1 << b) - 1)).alias("h")) for b in BITS])).alias("x")
+    sizes = signs.select("label", "dim", each).groupBy("label", "dim", "x.bits", "x.h").agg(F.count(F.lit(1)).alias("n"))
+    tables = F.element_at(F.create_map(*[F.lit(x) for b in BITS for x in (b, tables_of(b, threshold))]), F.col("bits"))
+    cost = sizes.groupBy("label", "dim", "bits").agg((F.sum(F.col("n") * F.col("n")) + PLACE * F.sum("n")).alias("c")).select("label", "dim", "bits", (F.col("c") * tables).alias("cost"))
+    return cost.groupBy("label", "dim").agg(F.min(F.struct("cost", "bits"))["bits"].alias("bits"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,7 +257,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     their cosine is at least ``threshold``. A null, empty or zero vector, one with null or
     non-finite components, and a row without vec_id link with nothing (``component_id`` is the vec_id,
     ``kept`` true unless that is null). ``n_links`` counts the other rows linked, equal vectors
-    included; vec_id should be unique, repeated rows link with each other.
+    included; vec_id should be unique, repeated rows link with each other. Other columns are
+    not read; an empty table gives no rows.
     """
     kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), True) else "<f8"
     numbers = T.ArrayType(T.FloatType() if kind == "<f4" else T.DoubleType())
@@ -145,72 +269,55 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             for k in range(0, whole.num_rows, 1024):
                 yield _rows(whole.slice(k, 1024), kind)
 
-    rows = written(v.mapInArrow(digest, "vec_id long, label string, key binary"), "vectors")
+    # a class is known by a 128-bit digest of its vector, so that vectors are shuffled once
+    known = v.mapInArrow(digest, "vec_id long, label string, key binary").withColumn("digest", F.unhex(F.md5("key")))
+    known = written(known, "vectors")
     able = F.col("label").isNotNull() & F.col("key").isNotNull() & F.col("vec_id").isNotNull()
-    classes = written(rows.where(able).groupBy("label", "key").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")), "classes")
-    largest = classes.groupBy("label", F.length("key")).count().agg(F.max("count")).first()[0] or 0
-    bits, tables = layout(largest, threshold)
+    classes = known.where(able).groupBy("label", "digest").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    classes = written(classes, "classes")
+    layout = written(layouts(classes, kind, threshold), "layouts")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
-                each = batch.column(1).to_pylist()
+                each, bits = batch.column(1).to_pylist(), batch.column(3).to_pylist()
                 got: list = [None] * len(each)
-                for size in {len(x) for x in each}:
-                    at = [p for p, x in enumerate(each) if len(x) == size]
+                for size, b in set(zip(map(len, each), bits)):
+                    at = [p for p, x in enumerate(each) if len(x) == size and bits[p] == b]
                     unit = unit_vectors([each[p] for p in at], kind)
-                    for p, code, factor, keys in zip(at, *codes_of(unit), keys_of(unit, bits, tables)):
-                        got[p] = (code.tobytes(), float(factor), keys)
-                code, factor, keys = zip(*got)
+                    for p, code, factor, other, step, keys in zip(at, *codes_of(unit), *rounded(unit), keys_of(unit, b, tables_of(b, threshold))):
+                        got[p] = (code.tobytes(), float(factor), other.tobytes(), float(step), keys)
+                columns = zip(*got)
+                types = (pa.binary(), pa.float32(), pa.binary(), pa.float32(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(code, pa.binary()), pa.array(factor, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "code", "factor", "keys"]
+                    [batch.column(0), pa.array([len(x) for x in each], pa.int32()), batch.column(2), batch.column(3), *(pa.array(c, t) for c, t in zip(columns, types))],
+                    ["label", "dim", "cid", "bits", "code", "factor", "rounded", "step", "keys"],
                 )
 
-    codes = written(classes.mapInArrow(coded, "label string, key binary, cid long, n long, code binary, factor double, keys array<long>"), "codes")
-    bucket = ["label", "dim", "t", "h"]
-    places = codes.select("label", F.length("key").alias("dim"), "cid", F.posexplode("keys").alias("t", "h"))
-    sizes = places.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*bucket, F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    parts = places.join(sizes, bucket).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    keyed = classes.select("label", "key", "cid", F.length("key").alias("dim")).join(layout, ["label", "dim"]).select("label", "key", "cid", "bits")
+    codes = written(keyed.mapInArrow(coded, "label string, dim int, cid long, bits int, code binary, factor float, rounded binary, step float, keys array<long>"), "codes")
+    bucket = UNIT[:4]
+    places = codes.select("*", F.posexplode("keys").alias("t", "h")).drop("keys")
+    large = places.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CHUNK).select(*bucket, F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
+    parts = places.join(large, bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    parts = parts.select(*bucket, F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "cid")
-    unit = [*bucket, "i", "j"]
-    parts = parts.join(codes.drop("label"), "cid").select(*unit, "chunk", "cid", "n", "key", "code", "factor", F.slice("keys", F.lit(1), F.col("t")).alias("earlier"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(at: tuple, rows: list[dict]) -> list[tuple[int, int, int]]:
-            return _tile(rows, at[4], at[5], kind, threshold) if len(rows) > 1 else []
-
-        at, held = None, []
-        for whole in batches:
-            found = []
-            for k in range(0, whole.num_rows, 1024):
-                for r in whole.slice(k, 1024).to_pylist():
-                    here = tuple(r[c] for c in unit)
-                    if here != at:
-                        found += close(at, held)
-                        at, held = here, []
-                    held.append(r)
-            if found:
-                yield _found(found)
-        if rest := close(at, held):
-            yield _found(rest)
-
-    tiles = parts.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(compare, "cid long, links long, root long")
-    tiles = written(tiles, "links")
+    parts = parts.withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with"))
+    parts = parts.select(*UNIT, "chunk", "cid", "bits", "code", "factor", "rounded", "step").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    possible = parts.mapInArrow(lambda batches: _units(batches, lambda rows: _possible(rows, threshold)), "label string, dim int, t int, h long, i int, j int, chunk int, cid long, bits int")
+    possible = written(possible, "possible")
+    met = possible.join(classes.select("cid", "n", "key"), "cid").select(*POSSIBLE, "n", "key").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    tiles = written(met.mapInArrow(lambda batches: _units(batches, lambda rows: _linked(rows, kind, threshold)), "cid long, links long, root long"), "links")
+    dropped(codes, layout, possible)
     links = tiles.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(tiles.select(F.col("cid").alias("u"), F.col("root").alias("v")).distinct())
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
     named = roots.join(least, "root").select(F.col("node").alias("cid"), "component")
-    out = rows.join(classes, ["label", "key"], "left").join(links, "cid", "left").join(named, "cid", "left")
-    known = F.col("vec_id").isNotNull()
+    whole = classes.select("label", "digest", "cid", "n").join(links, "cid", "left").join(named, "cid", "left")
+    out = known.select("vec_id", "label", "digest").join(whole, ["label", "digest"], "left")
+    there = F.col("vec_id").isNotNull()
     out = out.select(
-        "vec_id", F.when(known, F.coalesce(F.col("links") + F.col("n") - 1, F.col("n") - 1)).otherwise(0).alias("n_links"),
-        F.when(known, F.coalesce("component", "cid", "vec_id")).alias("component_id"),
+        "vec_id", F.when(there, F.coalesce(F.col("links") + F.col("n") - 1, F.col("n") - 1)).otherwise(0).alias("n_links"),
+        F.when(there, F.coalesce("component", "cid", "vec_id")).alias("component_id"),
     ).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["cid", "links", "root"])
