@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 LEAST, STRETCH = 0.8, 1.5
 #: Name -> notices by which the license is known. What stands in [[ ]] names the license, its version
 #: or its terms and must be found as it is, word after word.
@@ -33,9 +35,18 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the [[MIT License]].",
         "[[Permission is hereby granted]], free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
         "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "[[Permission is hereby granted]], free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so",
     ],
     "Apache-2.0": [
+        "[[Apache License Version 2.0]], January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License "
+        "shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
         "Licensed under the [[Apache License, Version 2.0]].",
         "Licensed under the [[Apache License, Version 2.0]]; you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     ],
@@ -57,15 +68,59 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the [[ISC License]].",
         "Permission to [[use, copy, modify, and/or distribute this software for any purpose with or without fee]] is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies.",
+        "Permission to [[use, copy, modify, and/or distribute this software for any purpose with or without fee]] is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "MPL-2.0": [
+        "[[Mozilla Public License Version 2.0]] 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns "
+        "Covered Software.",
+        *(f"This Source Code Form is subject to the terms of the [[Mozilla Public License, {v} 2.0]]." for v in ("v.", "version")),
+    ],
+    "EPL-2.0": [
+        *(f"made available under the terms of the [[Eclipse Public License {v}]]" for v in ("2.0", "v2.0", "v. 2.0", "version 2.0")),
+        "[[Eclipse Public License - v 2.0]] THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (AGREEMENT). ANY USE, REPRODUCTION OR "
+        "DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has dedicated all copyright and related rights to the [[public domain]].",
+        "[[CC0 1.0 Universal]] CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN "
+        "ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN AS-IS BASIS.",
+    ],
+    "Unlicense": [
+        "This is free and [[unencumbered software released into the public domain]].",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+        "[[dedicate any and all copyright interest]] in the software to the public domain.",
+    ],
+    "0BSD": [
+        "[[Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED]] AS IS AND THE "
+        "AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. [[Permission is granted to anyone to use this software for any purpose, including commercial applications]], and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ],
+    "BSL-1.0": [
+        "[[Distributed under the Boost Software License, Version 1.0]].",
+        "[[Boost Software License - Version 1.0]] - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+        "software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+    ],
+    "WTFPL": [
+        "[[DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE]] Version 2, December 2004 Everyone is permitted to copy and distribute verbatim or modified copies of this license "
+        "document, and changing it is allowed as long as the name is changed.",
     ],
-    "MPL-2.0": [f"This Source Code Form is subject to the terms of the [[Mozilla Public License, {v} 2.0]]." for v in ("v.", "version")],
-    "EPL-2.0": [f"made available under the terms of the [[Eclipse Public License {v}]]" for v in ("2.0", "v2.0", "v. 2.0", "version 2.0")],
-    "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related rights to the [[public domain]]."],
-    "Unlicense": ["This is free and [[unencumbered software released into the public domain]]."],
+    "Artistic-2.0": ["[[The Artistic License 2.0]] Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
     "proprietary": ["All rights reserved."],
 }
-for _name, _title, _n in (
-    ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+for _name, _title, _n, _dated in (
+    ("GPL-2.0", "General", "2", "June 1991 Copyright (C) 1989, 1991"), ("GPL-3.0", "General", "3", "29 June 2007 Copyright (C) 2007"),
+    ("LGPL-2.1", "Lesser General", "2.1", "February 1999 Copyright (C) 1991, 1999"), ("LGPL-3.0", "Lesser General", "3", "29 June 2007 Copyright (C) 2007"),
+    ("AGPL-3.0", "Affero General", "3", "19 November 2007 Copyright (C) 2007"),
 ):
     _versions = [f"{v}{n}" for v in ("version ", "v") for n in dict.fromkeys((_n, _n if "." in _n else f"{_n}.0"))]
     TEMPLATES[_name] = [
@@ -73,6 +128,7 @@ for _name, _title, _n in (
         *(f"Licensed under the [[GNU {_title} Public License, {v}]]." for v in _versions),
         f"This program is free software: you can redistribute it and/or modify it under the terms of the [[GNU {_title} Public License]] as published by the "
         f"Free Software Foundation, either [[version {_n}]] of the License, or any later version.",
+        f"[[GNU {_title} Public License Version {_n}]], {_dated} Free Software Foundation, Inc. {_VERBATIM}",
     ]
 for _terms, _long in (
     ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
@@ -81,11 +137,15 @@ for _terms, _long in (
     for _n, _where in (("4.0", "International"), ("3.0", "Unported")):
         TEMPLATES[f"CC-{_terms}-{_n}"] = [
             f"Licensed under [[CC {_terms} {_n}]].",
+            f"By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this [[Creative Commons {_long} {_n} {_where} "
+            "Public License]] (Public License).",
             *(f"This work is licensed under a [[Creative Commons {x} {_n}]] {_where} License." for x in dict.fromkeys((_long, _long.replace("NoDerivatives", "NoDerivs")))),
         ]
 for _name, _notices in TEMPLATES.items():
     if _name != "proprietary":
         _notices.append(f"Licensed under the [[{_name}]] License.")
+        _forms = (_name, f"{_name}-only", f"{_name}-or-later", f"{_name}+") if "GPL" in _name else (_name,)
+        _notices += [f"[[SPDX-License-Identifier: {x}]]" for x in _forms]
 _NAMED = re.compile(r"\[\[(.*?)\]\]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -165,7 +225,7 @@ class Scanner:
         self.names, notices = zip(*((name, marked(t)) for name, each in templates.items() for t in each))
         self.texts, self.named = zip(*notices)
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in self.texts for w in t}))}
-        self.member = np.zeros((len(self.texts), len(self.vocabulary)), np.int64)
+        self.member = np.zeros((len(self.texts), len(self.vocabulary)), np.float32)
         for k, t in enumerate(self.texts):
             self.member[k, [self.vocabulary[w] for w in t]] = 1
         short = np.array([int((1 - least) * len(t) + 1e-9) for t in self.texts])
@@ -183,15 +243,15 @@ class Scanner:
         coded = split.flatten().dictionary_encode()
         entry = np.array([self.entry(w) for w in coded.dictionary.to_pylist()], np.int64)
         each = entry[coded.indices.to_numpy()] if len(entry) else np.empty(0, np.int64)
-        bounds = split.offsets.to_numpy()
-        out = []
-        for k in range(len(texts)):
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        have = np.zeros((len(texts), len(self.vocabulary)), np.float32)
+        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        have[doc[each >= 0], each[each >= 0]] = 1
+        enough = have @ self.member.T >= self.need - 0.5
+        out: list[list[tuple[str, float, int, int]]] = [[] for _ in range(len(texts))]
+        for k in np.flatnonzero(enough.any(axis=1)):
             own = each[bounds[k] : bounds[k + 1]]
-            own = own[own > -2]
-            have = np.zeros(len(self.vocabulary), np.int64)
-            have[own[own >= 0]] = 1
-            able = np.flatnonzero(self.member @ have >= self.need)
-            out.append(self._best(own, able) if len(able) else [])
+            out[k] = self._best(own[own > -2], np.flatnonzero(enough[k]))
         return out
 
     def _names(self, pairs: list[tuple[int, int]], t: int) -> bool:
@@ -234,16 +294,15 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, lea
 
     ``license`` is the one with the highest coverage (then the longest template, then the
     first by name), null if none is found; ``first_word`` and ``n_words`` give its stretch in words of the text that hold a letter or digit;
-    ``licenses`` names all whose stretches do not overlap a better one. Null and empty texts hold none; repeated rows give
-    repeated results.
+    ``licenses`` names all whose stretches do not overlap a better one. Null and empty texts hold none; a null doc_id is
+    carried; repeated rows give repeated results; very long texts are taken one by one; other columns are not read; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*held.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
+            for batch in portions(whole):
                 got = scanner.scan(batch.column(1))
                 best = [x[0] if x else (None,) * 4 for x in got]
                 name, coverage, first, n = (list(x) for x in zip(*best))
