@@ -109,8 +109,9 @@ def counter(name: str) -> PieceCounter:
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    A null text counts as an empty one: no bytes, no tokens. Repeated rows give repeated
-    results; other columns are not read.
+    A null text counts as an empty one: no bytes, no tokens. A null doc_id is carried; repeated rows give
+    repeated results; very long texts are taken one by one and counted fragment by fragment;
+    other columns are not read; an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

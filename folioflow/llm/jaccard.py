@@ -14,6 +14,8 @@ costs about as many comparisons as it has members.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,35 +24,48 @@ from xxhash import xxh64_intdigest
 
 from .common import LOWER, by_batch, components, written
 
-WORDS, LIKE, BANDS, DEEP, FEW, CENTRES, CACHE = 5, 0.8, 24, 5, 32, 8, 150_000
-_P = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS)]
+WORDS, LIKE, BANDS, DEEP, FEW, CENTRES = 5, 0.8, 24, 5, 32, 8
+#: Words of a text that are taken up at a time.
+BLOCK = 1 << 15
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = np.array([xxh64_intdigest(bytes([i]), 7) for i in range(256)], np.uint64)
 _A = np.array([xxh64_intdigest(b"a%d" % i) | 1 for i in range(BANDS * DEEP)], np.uint64).astype(np.uint32)[:, None]
 _B = np.array([xxh64_intdigest(b"b%d" % i) for i in range(BANDS * DEEP)], np.uint64).astype(np.uint32)[:, None]
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = code = xxh64_intdigest(word)
-        return code
-
-
-_codes = _Codes()
+@lru_cache(maxsize=4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of the base modulo 2 ** 64, and their inverses."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.array([1], np.uint64)
+        for i in range(bits):
+            p = np.concatenate([p, p * np.uint64(pow(base, 1 << i, 1 << 64))])
+        out.append(p)
+    return out[0], out[1]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Ascending codes of the distinct shingles of a whole text; fewer than ``WORDS`` words are one shingle."""
+    """Ascending codes of the distinct shingles of a whole text; fewer than ``WORDS`` words are one shingle.
+
+    A code is the polynomial hash of the shingle's bytes, read off the running hash of the
+    words joined by single spaces.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    n = len(words) - WORDS + 1
-    if n < 1:
+    if len(words) < WORDS:
         return np.array([xxh64_intdigest(b" ".join(words))], np.uint64)
-    code = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    h = np.zeros(n, np.uint64)
-    for i in range(WORDS):
-        h += code[i : n + i] * _P[i]
-    h = (h ^ (h >> np.uint64(31))) * _P[1]
-    return np.unique(h ^ (h >> np.uint64(29)))
+    out = []
+    for at in range(0, len(words) - WORDS + 1, BLOCK):
+        whole = np.frombuffer(b" ".join(words[at : at + BLOCK + WORDS - 1]), np.uint8)
+        up, down = _powers(max(16, len(whole).bit_length()))
+        running = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[whole] * up[: len(whole)])])
+        spaces = np.flatnonzero(whole == 32)
+        starts, ends = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(whole)]])
+        first, last = starts[: len(starts) - WORDS + 1], ends[WORDS - 1 :]
+        h = (running[last] - running[first]) * down[first]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(_BASE)
+        out.append(np.unique(h ^ (h >> np.uint64(29))))
+    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
 def set_key(codes: np.ndarray) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, written
+from .common import WORD, ranked, unused, written
 
 WEIGHTS, TOTAL, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 
@@ -77,9 +77,14 @@ def _planned(sizes: DataFrame, split_last: bool, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each document as often as the mix takes it, whole each time.
 
-    Every row is a document of its own, whatever its doc_id.
+    Every row is a document of its own, whatever its doc_id. A document without words (a null
+    or empty text among them) adds nothing to any budget and is not taken. Sources weigh in the order of their
+    names, a null source last; all columns are kept as they are, whatever their names; an empty
+    table stays empty.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    plan = _planned(sized(rows, "__row"), False, **options)
-    times = plan.where("size > 0 and taken > 0").select("__row", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    return rows.join(times, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)
+    taken = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    row, times, copy = (unused([*docs.columns, *taken], x) for x in ("row", "times", "copy"))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    plan = _planned(sized(rows, row), False, **options)
+    plan = plan.where("size > 0 and taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return rows.join(plan, row).withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(row, times, copy)

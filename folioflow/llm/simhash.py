@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import jaccard
-from .common import LOWER, by_batch, components, written
+from .common import LOWER, by_batch, components, unused, written
 
 SHINGLE, SEED, RADIUS, SMALL = 3, 42, 2, 32
 
@@ -143,8 +143,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows are known by their place and not by doc_id: of repeated rows one stays, different
     texts under one doc_id are documents of their own, and a row without a doc_id stays
-    only if its whole group has none, one of the group then.
+    only if its whole group has none, one of the group then. Null and empty texts are one group. All
+    columns are kept as they are, whatever their names; very long texts are taken one by one; an
+    empty table stays empty.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = firsts(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return rows.join(found.withColumnRenamed("row", "__row"), "__row", "left_semi").select(*docs.columns)
+    row = unused(docs.columns, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = firsts(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return rows.join(found.withColumnRenamed("row", row), row, "left_semi").drop(row)

@@ -142,6 +142,57 @@ def test_pipeline_runs_and_each_stage_decides(spark, sf_dir):
     assert p.run(spark, sf_dir).count() == sizes[5]
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as p
+
+    names = ["row", "row_", "ROW", "copy", "times", "taken", "size", "target", "source_size", "__id", "__row", "__copy", "__source", "__draw", "k", "code", "share", "fp", "s"]
+    names = [n for k, n in enumerate(names) if n.lower() not in [x.lower() for x in names[:k]]]
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(words, k=60)) if k % 9 else None, "en", "ab"[k % 2], k, *(f"{n}{k}" for n in names)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in p.STAGES[:-1]:
+        if name == "benchmark_decontamination":
+            stage = lambda spark, d, _: p.decontaminate.cleaned(d, spark.createDataFrame([(1, "an item of the benchmark that no document holds")], "item_id long, text string"))
+        docs = common.written(stage(spark, docs, None), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        got = docs.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert p.token_files.round_trip(docs).count() == len(got)
+    few = docs.limit(0)
+    for stage in (p.language.accepted, p.simhash.keep_first, p.mixing.mix):
+        assert stage(few).collect() == [] and stage(few).columns == docs.columns
+
+
+def test_splits_follow_the_widest_dimension_at_the_weighted_median(spark):
+    rng = random.Random(5)
+    rows = [(k, f"{k}" + "y" * rng.randint(1, 40) + "\n" * rng.randint(0, 3)) for k in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "octet_length(text) + 1L as size", "0 as wide", "length(text) - length(replace(text, '\n', '')) as lines", "xxhash64(text) as group")
+    d = d.withColumn("tie", common.fraction("group")).cache()
+    paths = dict((n, t) for t, n in kd_shards.tree(d, ["size", "wide", "lines"], {k: 1.0 for k in range(4)}))
+    points = [({"size": r["size"] + r.tie, "wide": r.wide + r.tie, "lines": r.lines + r.tie}, r["size"]) for r in d.collect()]
+    whole = {x: (min(p[x] for p, _ in points), max(p[x] for p, _ in points)) for x in ("size", "wide", "lines")}
+
+    def widest(own):
+        return max(("size", "wide", "lines"), key=lambda x: (max(p[x] for p, _ in own) - min(p[x] for p, _ in own)) / (whole[x][1] - whole[x][0]))
+
+    for test in paths.values():
+        for depth in range(len(test)):
+            own = [p for p in points if all((p[0][x] < c) == left for x, c, left in test[:depth])]
+            dim, cut, _ = test[depth]
+            assert dim == widest(own)
+            left = sum(w for p, w in own if p[dim] < cut)
+            assert abs(left - sum(w for _, w in own) / 2) <= 50 + kd_shards.TOLERANCE * 2 * sum(w for _, w in own)  # within a document or two of the median
+    assert len(paths) == 4
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "word " * 1_000_000, "a"), (2, "word " * 10, "a"), (3, None, "b"), (4, "\n" * 100_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.size for r in kd_shards.shard(docs, 2).collect()} == {1: 5_000_001, 2: 51, 3: 1, 4: 100_001}
+    assert {r.doc_id: r.size for r in mixing.mixed(docs).collect()} == {1: 1_000_000, 2: 10, 3: 0, 4: 0}
+
+
 def test_queries_are_registered_once_each():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))

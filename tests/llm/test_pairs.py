@@ -115,13 +115,49 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     a = rng.standard_normal((300, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    est, bound = embeddings.estimates(*embeddings.codes_of(a), a)
+    code, factor = embeddings.codes_of(a)
+    est, bound = embeddings.estimates(code, factor, a @ embeddings.rotation(64, 0)), embeddings.bounds(factor, 64)
     err = (est - a @ a.T)[~np.eye(300, dtype=bool)]
     assert (np.abs(est - a @ a.T) <= bound[:, None] + 1e-5).mean() > 0.9999
     assert abs(err.mean()) < 0.003 and np.abs(err).max() < embeddings.SURE / 8
-
-
-@pytest.mark.parametrize("chunk", [512, 16])
+    other, step = embeddings.rounded(a)
+    rough = embeddings.estimates(code, factor, other * step[:, None])
+    assert (np.abs(rough - est) <= 4 * step[None, :] / factor[:, None] + 1e-6).all()
+
+
+def planted(rng, labels, size, dim, pairs, crowd):
+    """Unit vectors of several labels (in one direction's neighbourhood if ``crowd``) with pairs of cosine 0.9801 planted."""
+    v = []
+    for _ in range(labels):
+        centre = crowd * rng.standard_normal(dim) / np.sqrt(dim)
+        own = centre + rng.standard_normal((size, dim)) / np.sqrt(dim)
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
+        away = rng.standard_normal((pairs, dim))
+        away -= (away * own[:pairs]).sum(axis=1, keepdims=True) * own[:pairs]
+        away /= np.linalg.norm(away, axis=1, keepdims=True)
+        own[-pairs:] = 0.9801 * own[:pairs] + np.sqrt(1 - 0.9801**2) * away
+        v.append(own)
+    return np.concatenate(v)
+
+
+@pytest.mark.parametrize("dim, crowd", [(16, 0), (64, 0), (64, 1.5), (256, 0)])
+def test_recall_of_pairs_just_over_the_threshold(spark, dim, crowd):
+    labels, size, pairs = 2, 5000, 1000
+    v = planted(np.random.default_rng([dim, int(crowd * 2)]), labels, size, dim, pairs, crowd)
+    rows = [(k, x.tolist(), k // size) for k, x in enumerate(v)]
+    out = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = wanted = 0
+    for label in range(labels):
+        own = v[label * size : (label + 1) * size]
+        near = own @ own.T >= 0.98
+        want = near.sum(axis=1) - 1
+        got = np.array([out[label * size + k].n_links for k in range(size)])
+        assert (got <= want).all()
+        found, wanted = found + got.sum(), wanted + want.sum()
+    assert wanted >= 2 * labels * pairs and found >= 0.999 * wanted, found / wanted
+
+
+@pytest.mark.parametrize("chunk", [2048, 16])
 def test_embedding_links_against_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(embeddings, "CHUNK", chunk)
     rng = np.random.default_rng(7)
