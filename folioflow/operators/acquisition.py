@@ -33,16 +33,30 @@ def recent_reports(announcements: DataFrame, n: int = 50) -> DataFrame:
 
 
 def manifest(reports: DataFrame, host: str) -> DataFrame:
-    """``idx, code, name, title, date, url, file`` of the reports that have a file."""
-    w = Window.orderBy(F.coalesce("announcementTime", F.lit(0)).desc(), "seen")
-    r = reports.where(F.coalesce("adjunctUrl", F.lit("")) != "").withColumn("idx", F.row_number().over(w))
+    """``idx, code, name, title, date, url, file`` of the reports that have a file; ``idx`` counts all reports, newest first."""
+    times = reports.withColumn("__age", -F.coalesce(F.col("announcementTime").try_cast("bigint"), F.lit(0)))
+    r = numbered(times, ["__age", "seen"], "__at").withColumn("idx", (F.col("__at") + 1).cast("int")).where(F.trim(F.coalesce("adjunctUrl", F.lit(""))) != "")
     date = X.millis_to_date(F.col("announcementTime"))
     return r.select(
         "idx", F.col("secCode").alias("code"), F.col("secName").alias("name"), F.col("announcementTitle").alias("title"), date.alias("date"),
-        F.concat(F.lit(host.rstrip("/") + "/"), F.ltrim("adjunctUrl", F.lit("/"))).alias("url"), X.report_file(F.col("idx"), F.col("secCode"), F.col("secName"), date).alias("file"),
+        F.concat(F.lit(host.rstrip("/") + "/"), F.ltrim(F.trim("adjunctUrl"), F.lit("/"))).alias("url"), X.report_file(F.col("idx"), F.col("secCode"), F.col("secName"), date).alias("file"),
     )
 
 
+def fetch_report(fetched: DataFrame) -> DataFrame:
+    """``n, ok, skipped, failed`` of fetched files: the manifest's count is ``ok``."""
+    status = F.col("status")
+    return fetched.agg(F.count(F.lit(1)).alias("n"), F.count_if(status == "ok").alias("ok"), F.count_if(status == "skipped").alias("skipped"), F.count_if(status.startswith("failed")).alias("failed"))
+
+
+def redrawn(df: DataFrame, order: str, sizes: tuple[int, ...] = (100, 40), seeds: tuple[int, ...] = (42, 7)) -> DataFrame:
+    """A draw from a draw, each with its seed: the later one picks from the rows as the earlier one ordered them."""
+    out = drawn(df, order, sizes[0], seeds[0])
+    for n, seed in zip(sizes[1:], seeds[1:]):
+        out = drawn(out.withColumnRenamed("draw", "__draw"), "__draw", n, seed).drop("__draw")
+    return out
+
+
 def round_robin(df: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
     """n rows taken from the strata in turn: all firsts, then all seconds, strata in name order."""
     w = Window.partitionBy(stratum).orderBy(order)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.lineage import written
 
 
 def gold_of(items: DataFrame) -> DataFrame:
@@ -55,19 +56,46 @@ def scopes(rows: DataFrame, label: str, kind: str, labels: tuple[str, ...] = ("R
     return everything.select(F.when(F.col("whole") == 1, "all").otherwise(F.col(kind)).alias("scope"), "n", *[c for v in labels for c in (f"n_{v}", f"rate_{v}")])
 
 
-def paired(rows: DataFrame, idx: str, before: str, after: str) -> DataFrame:
-    """``n, acc, orig_acc, delta_pp, regressed, improved`` of the same items judged twice."""
-    return rows.agg(
+def flips(rows: DataFrame, idx: str, before: str, after: str) -> DataFrame:
+    """``idx, flip``: the items that were judged otherwise before, one row each, however many."""
+    flip = F.when((F.col(before) == 1) & (F.col(after) == 0), "regressed").when((F.col(before) == 0) & (F.col(after) == 1), "improved")
+    return rows.select(F.col(idx).alias("idx"), flip.alias("flip")).where("flip is not null")
+
+
+def paired(rows: DataFrame, idx: str, before: str, after: str, most: int = 1_000_000) -> DataFrame:
+    """``n, acc, orig_acc, delta_pp, regressed, improved`` of the same items judged twice.
+
+    The two lists are a report's: more than ``most`` flips are an error (see :func:`flips`).
+    """
+    flip = F.when((F.col(before) == 1) & (F.col(after) == 0), "regressed").when((F.col(before) == 0) & (F.col(after) == 1), "improved")
+    counts = rows.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(after), 6).alias("acc"), F.round(F.avg(before), 6).alias("orig_acc"), F.round((F.avg(after) - F.avg(before)) * 100, 4).alias("delta_pp"),
-        F.array_sort(F.collect_list(F.when((F.col(before) == 1) & (F.col(after) == 0), F.col(idx)))).alias("regressed"),
-        F.array_sort(F.collect_list(F.when((F.col(before) == 0) & (F.col(after) == 1), F.col(idx)))).alias("improved"),
+        F.count(flip).alias("flips"),
     )
+    f = flips(rows, idx, before, after).orderBy("idx").limit(most).groupBy("flip").agg(F.array_sort(F.collect_list("idx")).alias("ids"))
+    named = lambda k: F.coalesce(F.first(F.when(F.col("flip") == k, F.col("ids")), True), F.array().cast(f.schema["ids"].dataType)).alias(k)
+    out = counts.join(F.broadcast(f.agg(named("regressed"), named("improved"))))
+    few = F.when(F.col("flips") > most, F.raise_error(F.lit("too many flips for one row"))).otherwise(F.col("regressed"))
+    return out.select("n", "acc", "orig_acc", "delta_pp", few.alias("regressed"), "improved")
 
 
 def running_mean(rows: DataFrame, value: str, order: str, by: str | None = None) -> DataFrame:
-    """Each row with the mean so far, within ``by``."""
-    w = Window.partitionBy(*([by] if by else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.round(F.avg(value).over(w), 6))
+    """Each row with the mean so far, within ``by``; rows with one ``order`` lie as they come.
+
+    A group may be as large as the table: rows are sorted by ranges of (by, order), the
+    sums of whole ranges give each range its start and a window inside the range does the rest.
+    """
+    key = [by] if by else []
+    cut = written(rows.repartitionByRange(*key, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    parts = cut.groupBy(*key, "__range").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    before = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*key, "__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("__s", "__n")])
+    own = Window.partitionBy(*key, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    each = cut.select("*", F.coalesce(F.sum(value).over(own), F.lit(0)).alias("__s1"), F.count(value).over(own).alias("__n1"))
+    meets = (F.col("a.__range") == F.col("b.__range")) & (F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}")) if by else F.lit(True))
+    both = each.alias("a").join(starts.alias("b"), meets)
+    mean = (F.col("__s1") + F.col("__s0")) / F.nullif(F.col("__n1") + F.col("__n0"), F.lit(0))
+    return both.select("a.*", F.round(mean, 6).alias("running")).drop("__range", "__s1", "__n1")
 
 
 def two_by_two(judged: DataFrame) -> DataFrame:

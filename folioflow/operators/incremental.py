@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.lineage import exists
+
 
 def pending(items: DataFrame, done: DataFrame, on: list[str] | str) -> DataFrame:
     """Items that the ledger does not have."""
@@ -33,6 +37,35 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(fields, order).alias("__r")).select(key, "__r.*")
 
 
-def looked_up(questions: DataFrame, stored: DataFrame, on: str, value: str, order: str) -> DataFrame:
-    """Questions with their stored answer (the last of repeated ones), null where it must be computed."""
+def looked_up(questions: DataFrame, stored: DataFrame, on: str, value: str, order: str, error: str | None = None) -> DataFrame:
+    """Questions with their stored answer (the last of repeated ones), null where it must be computed.
+
+    ``error`` names a column (true, or what went wrong) of answers that do not count.
+    """
+    if error is not None:
+        e = F.col(error)
+        bad = e if dict(stored.dtypes)[error] == "boolean" else e.isNotNull() & (e.cast("string") != "")
+        stored = stored.where(~F.coalesce(bad, F.lit(False)))
     return questions.join(last_wins(stored, on, order).select(on, value), on, "left")
+
+
+def resumed(items: DataFrame, store: str, key: str, work: Callable[[DataFrame], DataFrame], every: int | None = None, error: str = "error") -> DataFrame:
+    """``work`` on the items that the store does not hold; the store's rows of all items that did not fail.
+
+    ``work`` maps items to rows with their key and a boolean ``error``. What it returns is appended in turns of about
+    ``every`` items, each committed as a whole, so a run that breaks off goes on where it
+    stopped; items that failed before are tried again.
+    """
+    spark = items.sparkSession
+    todo = items
+    if exists(spark, store):
+        todo = pending(items, spark.read.parquet(store).where(~F.col(error)).select(key).distinct(), key)
+    turns = -(-todo.count() // every) if every else 1
+    for t in range(turns):
+        work(todo.where(F.pmod(F.xxhash64(key), F.lit(turns)) == t)).write.mode("append").parquet(store)
+    if not exists(spark, store):
+        return work(items.limit(0))
+    rows = spark.read.parquet(store)
+    fields = F.struct(*[c for c in rows.columns if c != key])
+    best = rows.groupBy(key).agg(F.min_by(fields, error).alias("__r")).select(key, "__r.*")
+    return best.join(items.select(key).distinct(), key, "left_semi")

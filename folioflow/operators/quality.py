@@ -62,3 +62,22 @@ def trace_report(df: DataFrame, text: str = "text", pattern: str | None = None,
     return df.select(F.col(text).alias("old"), new.alias("new")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("old").rlike(wide)).alias("before"), F.count_if(F.col("old") != F.col("new")).alias("changed"), F.count_if(F.col("new").rlike(wide)).alias("after")
     )
+
+
+def trace_examples(df: DataFrame, order: str, text: str = "text", pattern: str | None = None, n: int = 6) -> DataFrame:
+    """The first n rows that cleaning changes, before and after."""
+    new = X.without_traces(F.col(text), pattern)
+    return df.select(order, F.col(text).alias("old"), new.alias("new")).where("old <> new").orderBy(order).limit(n)
+
+
+def qa_report(qa: DataFrame, short: int = 15, long: int = 800) -> DataFrame:
+    """One row on a question set (``instruction, output``): size, errors, duplicate rates, lengths of answers.
+
+    Rates are exact: questions, and pairs of question and answer, are counted by their squeezed texts.
+    """
+    q, o = (X.squeeze(F.coalesce(c, F.lit(""))) for c in ("instruction", "output"))
+    by = lambda name, df: df.select(F.col("dup_rate").alias(name))
+    errors = alpaca_errors(qa)
+    questions, pairs = by("question_dup_rate", duplicate_rate(qa, q)), by("pair_dup_rate", duplicate_rate(qa, F.concat_ws("\u0001", q, o)))
+    lengths = length_profile(qa, F.length("output"), short, long).drop("n", "n_empty")
+    return errors.join(F.broadcast(questions)).join(F.broadcast(pairs)).join(F.broadcast(lengths))

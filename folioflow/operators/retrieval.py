@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.lineage import written
 
 from . import fusion, models, text_index, vector
 
@@ -19,11 +20,34 @@ def hits(ranked: DataFrame, records: DataFrame) -> DataFrame:
     return ranked.join(records.drop("embedding"), "rec_id")
 
 
+class Arms:
+    """The ranked lists of both arms over one index, each computed and written once however many configurations use it."""
+
+    def __init__(self, records: DataFrame, queries: DataFrame, candidates: int = 20, scope: str | None = None):
+        self.records, self.queries, self.candidates, self.scope = records, queries, candidates, scope
+        self._index: text_index.TextIndex | None = None
+        self._done: dict[tuple[str, bool], DataFrame] = {}
+
+    def vector(self, scoped: bool = False) -> DataFrame:
+        return self._once("vector", scoped, lambda scope: vector.search(self.records, self.queries, self.candidates, scope))
+
+    def words(self, scoped: bool = False) -> DataFrame:
+        if self._index is None:
+            self._index = text_index.indexed(self.records, scope=self.scope)
+        return self._once("words", scoped, lambda scope: text_index.search(self._index, self.queries, self.candidates, scope))
+
+    def _once(self, arm: str, scoped: bool, made: Callable) -> DataFrame:
+        if (arm, scoped) not in self._done:
+            self._done[arm, scoped] = written(made(self.scope if scoped else None), arm)
+        return self._done[arm, scoped]
+
+    def fused(self, k: int, scoped: bool = False, rrf_k: int = 60) -> DataFrame:
+        return fusion.fuse(self.vector(scoped), self.words(scoped), k, rrf_k)
+
+
 def hybrid(records: DataFrame, queries: DataFrame, k: int = 6, candidates: int = 20, scope: str | None = None, rrf_k: int = 60) -> DataFrame:
     """Both arms fetch ``candidates`` each; the k best of their fusion stay."""
-    v = vector.search(records, queries, candidates, scope)
-    b = text_index.search(records, queries, candidates, scope)
-    return fusion.fuse(v, b, k, rrf_k)
+    return Arms(records, queries, candidates, scope).fused(k, scope is not None, rrf_k)
 
 
 def lexical_overlap(query: F.Column, text: F.Column) -> F.Column:
@@ -47,35 +71,44 @@ def rerank(ranked: DataFrame, records: DataFrame, queries: DataFrame, k: int = 6
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rec_id", "rerank_score", "rank_before", "rank")
 
 
-def retrieve(cfg: str, records: DataFrame, queries: DataFrame, k: int = 6, candidates: int = 20, scope: str = "scope", factory: Callable | None = None) -> DataFrame:
+def retrieve(cfg: str, records: DataFrame, queries: DataFrame, k: int = 6, candidates: int = 20, scope: str = "scope", factory: Callable | None = None, arms: Arms | None = None) -> DataFrame:
     """``cfg, qid, rec_id, rank`` by one of the configurations.
 
     ``queries`` has ``qid, question, embedding`` and, for the routed one, ``scope``.
     """
+    if cfg not in CONFIGS:
+        raise ValueError(f"no such configuration: {cfg}")
+    arms = arms or Arms(records, queries, max(k, candidates) if cfg == "vec" else candidates, scope if cfg == "hr_route" else None)
     if cfg == "vec":
-        out = vector.search(records, queries, k)
+        out = arms.vector().where(F.col("rank") <= k)
     elif cfg == "hybrid":
-        out = hybrid(records, queries, k, candidates)
-    elif cfg in ("hr", "hr_route"):
-        first = hybrid(records, queries, candidates, candidates, scope if cfg == "hr_route" else None)
-        out = rerank(first, records, queries, k, factory)
+        out = arms.fused(k)
     else:
-        raise ValueError(f"no such configuration: {cfg}")
+        out = rerank(arms.fused(candidates, cfg == "hr_route"), records, queries, k, factory)
     return out.select(F.lit(cfg).alias("cfg"), "qid", "rec_id", "rank")
 
 
-def retrieve_all(configs, records: DataFrame, queries: DataFrame, **options) -> DataFrame:
+def retrieve_all(configs, records: DataFrame, queries: DataFrame, k: int = 6, candidates: int = 20, scope: str = "scope", factory: Callable | None = None) -> DataFrame:
+    """The configurations side by side; what they share is computed once."""
+    configs = list(configs)
+    arms = Arms(records, queries, max(k, candidates), scope if "hr_route" in configs else None)
     out = None
     for cfg in configs:
-        part = retrieve(cfg, records, queries, **options)
+        part = retrieve(cfg, records, queries, k, candidates, scope, factory, arms)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def context(found: DataFrame, order: str = "rank", text: str = "text") -> DataFrame:
-    """``qid, ctx``: hits in order, one line each, numbered from 1."""
+def groups(records: DataFrame, by: str = "company") -> DataFrame:
+    """``company, rec_ids``: the records of each group in order; for groups that a row can hold."""
+    return records.groupBy(by).agg(F.array_sort(F.collect_list("rec_id")).alias("rec_ids"))
+
+
+def context(found: DataFrame, order: str = "rank", text: str = "text", count: str | None = None) -> DataFrame:
+    """``qid, ctx``: hits in order, one line each, numbered from 1; ``count`` names a column for their number."""
     parts = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("p"))
-    return parts.select("qid", F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x[text])), "\n").alias("ctx"))
+    ctx = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x[text])), "\n")
+    return parts.select("qid", ctx.alias("ctx"), *([F.size("p").alias(count)] if count else []))
 
 
 def answer_prompt(ctx: F.Column, question: F.Column) -> F.Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as X
 from folioflow.lineage import numbered, written
 
-from . import cleaning, evaluate, judging, models, qa, retrieval, routing, sections, tables
+from . import cleaning, evaluate, incremental, judging, models, qa, retrieval, routing, sections, tables
 
 
 def corpus(pages: DataFrame, found_tables: DataFrame | None = None, size: int = 1000) -> DataFrame:
@@ -44,28 +44,38 @@ def routed(questions: DataFrame, records: DataFrame) -> DataFrame:
     return questions.join(r.withColumnRenamed("routed", "scope"), "qid", "left")
 
 
-def answered(questions: DataFrame, records: DataFrame, cfg: str, generator: Callable = models.echo_generator, guard: bool = False, k: int = 6, candidates: int = 20, **options) -> DataFrame:
-    """``questions`` (``qid, question, scope, embedding``) with ``cfg, ctx, answer, error``."""
+def answered(questions: DataFrame, records: DataFrame, cfg: str, generator: Callable = models.echo_generator, guard: bool = False, k: int = 6, candidates: int = 20, store: str | None = None, every: int | None = 20, **options) -> DataFrame:
+    """``questions`` (``qid, question, scope, embedding``) with ``cfg, ctx, answer, error``.
+
+    With ``store``, a folder, answers are kept there as they come, ``every`` so many questions, and a later
+    run asks only for those that are missing or failed (see :func:`incremental.resumed`).
+    """
     r = records.withColumn("scope", F.col("company"))
-    found = retrieval.hits(retrieval.retrieve(cfg, r, questions, k=k, candidates=candidates), records.select("rec_id", "text"))
-    p = retrieval.answer_prompt(F.coalesce("ctx", F.lit("")), F.col("question"))
-    asked = questions.drop("embedding").join(retrieval.context(found), "qid", "left").withColumn("__prompt", F.concat(p, F.lit(judging.GUARD)) if guard else p)
-    out = models.generated(asked, "__prompt", generator, out="answer", **options).drop("__prompt")
-    return out.withColumn("error", F.col("error").isNotNull()).withColumn("cfg", F.lit(cfg))
+
+    def work(asked: DataFrame) -> DataFrame:
+        found = retrieval.hits(retrieval.retrieve(cfg, r, asked, k=k, candidates=candidates), records.select("rec_id", "text"))
+        p = retrieval.answer_prompt(F.coalesce("ctx", F.lit("")), F.col("question"))
+        prompts = asked.drop("embedding").join(retrieval.context(found), "qid", "left").withColumn("__prompt", F.concat(p, F.lit(judging.GUARD)) if guard else p)
+        out = models.generated(prompts, "__prompt", generator, out="answer", **options).drop("__prompt")
+        return out.withColumn("error", F.col("error").isNotNull()).withColumn("cfg", F.lit(cfg))
+
+    return work(questions) if store is None else incremental.resumed(questions, f"{store}/{cfg}{'-guard' if guard else ''}", "qid", work, every)
 
 
 def ablation(questions: DataFrame, records: DataFrame, judge: Callable, generator: Callable = models.echo_generator, configs=retrieval.CONFIGS, done: DataFrame | None = None, **options) -> DataFrame:
     """The report of every configuration that ``done`` (reports of earlier runs) lacks.
 
     ``questions`` has ``qid, question, reference, scope, embedding``. Answers are written before
-    they are judged, so generating and judging are separate jobs and neither is repeated.
+    they are judged, so generating and judging are separate jobs and neither is repeated; with
+    ``store`` they outlive a run that breaks off.
     """
     if done is not None:
         have = {r.cfg for r in done.where(~F.coalesce(F.col("partial"), F.lit(False))).select("cfg").distinct().collect()}
         configs = [c for c in configs if c not in have]
     out = None
     for cfg in configs:
-        a = written(answered(questions, records, cfg, generator, **options), "answers")
+        a = answered(questions, records, cfg, generator, **options)
+        a = a if options.get("store") else written(a, "answers")
         a = a.withColumn("evidence", X.evidence(F.col("reference"), F.coalesce("ctx", F.lit(""))))
         a = a.withColumn("routed", F.col("scope") if cfg == "hr_route" else F.lit(None).cast("string"))
         part = judging.judged(a, judge, "reference").select("cfg", "judge", "evidence", "routed", "error")
@@ -110,6 +120,30 @@ def seen_and_unseen(sides: dict[str, tuple[DataFrame, DataFrame]], judge: Callab
     return evaluate.two_by_two(judging.judged(written(out, "answers"), judge))
 
 
+def asked(spark: SparkSession, records: DataFrame, question: str, generator: models.TextGenerator, embedder: models.Embedder, cfg: str = "vec", route: bool = True, k: int = 6, candidates: int = 20) -> dict:
+    """One question with its ``scope``, ``hits``, ``answer`` and the seconds of route, recall, rerank, generate and total."""
+    times, began = {}, time.perf_counter()
+
+    def lap(name: str) -> None:
+        times[name] = time.perf_counter() - began - sum(times.values())
+
+    q = spark.createDataFrame([(0, question, [float(x) for x in embedder([question], True)[0]])], "qid long, question string, embedding array<float>")
+    scope = routed(q, records).first()["scope"] if route else None
+    q, r = q.withColumn("scope", F.lit(scope).cast("string")), records.withColumn("scope", F.col("company"))
+    lap("route")
+    arms = retrieval.Arms(r, q, max(k, candidates) if cfg == "vec" else candidates, "scope")
+    first = arms.vector(True) if cfg == "vec" else arms.fused(candidates if cfg in ("hr", "hr_route") else k, True)
+    first = written(first.where(F.col("rank") <= (k if cfg == "vec" else candidates)).select("qid", "rec_id", "rank"), "recalled")
+    lap("recall")
+    best = retrieval.rerank(first, records, q, k) if cfg in ("hr", "hr_route") else first
+    hits = retrieval.hits(best, records.select("rec_id", "company", "file", "chunk_idx", "text")).orderBy("rank").collect()
+    lap("rerank")
+    prompt = "\n".join(f"[{n}] {h.text}" for n, h in enumerate(hits, 1))
+    answer = generator(f"{prompt}\n\nQuestion: {question}")
+    lap("generate")
+    return {"question": question, "scope": scope, "hits": hits, "answer": answer} | times | {"total": time.perf_counter() - began}
+
+
 def timed(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], repeats: int = 1, warm_up: int = 1) -> DataFrame:
     """``stage, run, seconds`` of running each stage to its end; warm-up runs are not counted."""
     rows = []

@@ -1,60 +1,129 @@
-"""BM25 over an inverted index built from DataFrame operations."""
+"""BM25: records are analysed once, the queries go to them in blocks, top hits leave each task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.lineage import written
+
+from . import topk
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query tokens that go to the executors at once, and scores that a task holds at a time.
+BLOCK_TOKENS, BLOCK_SCORES = 1_000_000, 4_000_000
+
 
+@dataclass
+class TextIndex:
+    """The analysed records (``rec_id, tokens[, scope]``), the corpus's statistics and ``token, idf``."""
 
-def analyzed(records: DataFrame, analyzer=X.tokens, text: str = "text") -> DataFrame:
-    """``rec_id, tokens`` (an empty array for a null text)."""
-    return records.select("rec_id", F.coalesce(analyzer(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
+    tokens: DataFrame
+    n_docs: int
+    avgdl: float
+    idf: DataFrame
 
 
-def statistics(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(n_docs, avgdl)`` in one row, and ``token, df`` over the whole corpus."""
-    corpus = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    return corpus, tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def analyzed(records: DataFrame, analyzer=X.tokens, text: str = "text", scope: str | None = None) -> DataFrame:
+    """``rec_id, tokens`` (an empty array for a null text), with ``scope`` if there is one."""
+    more = [F.col(scope).cast("string").alias("scope")] if scope else []
+    return records.select(F.col("rec_id").cast("long").alias("rec_id"), F.coalesce(analyzer(F.col(text)), F.array().cast("array<string>")).alias("tokens"), *more)
 
 
-def weights(df: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def weights(df: DataFrame, n_docs: int, epsilon: float = EPSILON) -> DataFrame:
     """``token, idf``; a negative idf becomes ``epsilon`` times the mean idf of all tokens."""
-    raw = df.join(F.broadcast(corpus.select("n_docs"))).select("token", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("token", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    raw = df.select("token", (F.ln(F.lit(n_docs) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    mean = raw.agg(F.avg("idf")).first()[0]
+    return raw.select("token", F.when(F.col("idf") < 0, epsilon * F.lit(mean)).otherwise(F.col("idf")).alias("idf"))
 
 
-def scores(records: DataFrame, queries: DataFrame, analyzer=X.tokens, k1: float = K1, b: float = B, digits: int = 9) -> DataFrame:
-    """``qid, rec_id, score`` of every pair that shares a token; rounded to ``digits``.
+def indexed(records: DataFrame, analyzer=X.tokens, scope: str | None = None) -> TextIndex:
+    """Analyse the records, once; the statistics are those of the whole corpus."""
+    t = written(analyzed(records, analyzer, scope=scope), "tokens")
+    n, avgdl = t.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    df = written(t.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    return TextIndex(t, n, avgdl or 1.0, weights(df, n))
 
-    A query's tokens count with their multiplicity. Records keep only tokens that occur in
-    some query before they are counted per record, so the postings that are shuffled are
-    those that can score; the corpus-wide statistics still see every record.
-    """
-    t = analyzed(records, analyzer)
-    corpus, df = statistics(t)
-    asked = queries.select("qid", F.explode(analyzer(F.col("question"))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times"))
-    idf = weights(df, corpus).join(asked.select("token").distinct(), "token", "left_semi")
-    postings = t.select("rec_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(idf, "token")
-    tf = postings.groupBy("rec_id", "token", "dl", "idf").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(corpus))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    part = tf.select("rec_id", "token", part.alias("part"))
-    return part.join(asked, "token").groupBy("qid", "rec_id").agg(F.round(F.sum(F.col("part") * F.col("times")), digits).alias("score"))
-
-
-def search(records: DataFrame, queries: DataFrame, candidates: int = 20, scope: str | None = None, **options) -> DataFrame:
-    """``qid, rec_id, score, rank`` of the best records; ties by rec_id.
-
-    With ``scope``, a column of both sides, a query that has a value there sees only the
-    records that share it, scored with the statistics of the whole corpus.
+
+def search(records: DataFrame | TextIndex, queries: DataFrame, candidates: int = 20, scope: str | None = None, analyzer=X.tokens, k1: float = K1, b: float = B, digits: int = 9, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``qid, rec_id, score, rank`` of the best records that share a token with the query; ties (to ``digits`` digits) by rec_id.
+
+    A query's tokens count with their multiplicity. With ``scope``, a column of both sides, a query that has a value
+    there sees only the records that share it, scored with the statistics of the whole corpus. The score of a record is
+    summed over its own tokens alone and within its row, so no posting is shuffled; each task keeps the
+    best per query as it goes.
     """
-    s = scores(records, queries, **options)
-    if scope:
-        s = s.join(queries.select("qid", F.col(scope).alias("__q")), "qid").join(records.select("rec_id", F.col(scope).alias("__r")), "rec_id")
-        s = s.where(F.col("__q").isNull() | (F.col("__q") == F.col("__r"))).drop("__q", "__r")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "rec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= candidates)
+    index = records if isinstance(records, TextIndex) else indexed(records, analyzer, scope)
+    more = [F.col(scope).cast("string").alias("scope")] if scope else []
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.coalesce(analyzer(F.col("question")), F.array().cast("array<string>")).alias("asked"), *more)
+    found = index.tokens.selectExpr("rec_id as qid", "rec_id", "0d as score").where("false")
+    total = q.agg(F.sum(F.size("asked"))).first()[0] or 0
+    for rows in topk.blocks(q, total // block_tokens + 1):
+        spark = q.sparkSession
+        tokens = sorted({t for r in rows for t in r.asked})
+        if tokens:
+            known = spark.createDataFrame(pa.table({"token": tokens}))
+            idf = {r.token: r.idf for r in index.idf.join(F.broadcast(known), "token").collect()}
+            scopes = [r.scope for r in rows] if scope else None
+            part = topk.within(index.tokens if scope else index.tokens.select("rec_id", "tokens"), scopes)
+            found = found.unionByName(_scan(part, rows, idf, scopes, candidates, index.avgdl, k1, b, digits))
+    return topk.ranked(found, "score", candidates)
+
+
+def _scan(tokens: DataFrame, rows: list, idf: dict[str, float], scopes: list | None, k: int, avgdl: float, k1: float, b: float, digits: int) -> DataFrame:
+    names = sorted(idf)
+    at = {t: i for i, t in enumerate(names)}
+    asked = [{at[t]: n for t, n in Counter(r.asked).items() if t in at} for r in rows]
+    held = tokens.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), names, idf, asked, scopes if scopes is None else np.array(scopes, object)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, names, idf, asked, scopes = held.value
+        times = np.zeros((len(names), len(qids)))
+        for j, own in enumerate(asked):
+            times[list(own), j] = list(own.values())
+        weight = times * np.array([idf[t] for t in names])[:, None]
+        positive = bool((weight[times > 0] > 0).all())
+        known, best = pa.array(names, pa.string()), topk.Best(qids, k)
+        for whole in batches:
+            for batch in _bounded(whole, len(qids)):
+                lists = batch.column(1)
+                dl = np.diff(lists.offsets.to_numpy())
+                code = pc.index_in(lists.flatten(), known).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(dl)), dl)[~np.isnan(code)] if len(code) else np.empty(0, np.int64)
+                pair, tf = np.unique(row * len(names) + code[~np.isnan(code)].astype(np.int64), return_counts=True)
+                row, code = pair // len(names), pair % len(names)
+                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                some = row[starts]
+
+                def score(r, j) -> np.ndarray:
+                    out = np.full((len(dl), len(qids)), -np.inf) if isinstance(j, slice) else np.full((len(dl), len(j)), -np.inf)
+                    if len(row):
+                        sums = np.round(np.add.reduceat(value[:, None] * weight[code][:, j], starts, axis=0), digits)
+                        share = sums > 0 if positive else np.add.reduceat(times[code][:, j], starts, axis=0) > 0
+                        out[some] = np.where(share, sums, -np.inf)
+                    return out[r]
+
+                own = None if scopes is None else np.array(batch.column(2).to_pylist(), object)
+                best.add(batch.column(0).to_numpy(), topk.scored(own, scopes, len(dl), len(qids), score))
+        yield best.batch("score")
+
+    return tokens.mapInArrow(run, "qid long, rec_id long, score double")
+
+
+def _bounded(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
+    """Slices of as many records as have ``BLOCK_SCORES`` products of tokens and queries, at least one."""
+    ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()) + 1) * queries
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_SCORES, "right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -6,19 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import topk
+
 #: Queries up to this many bytes of vectors go to the executors at once; more go in turns.
 BLOCK_BYTES = 32 << 20
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     """Rows of doubles; a vector that is null, of another length or holds nulls becomes NaNs."""
     out = np.full((len(column), dim), np.nan)
-    for k, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim and None not in v:
-            out[k] = v
+    good = np.diff(column.offsets.to_numpy()) == dim
+    if column.null_count:
+        good &= column.is_valid().to_numpy(zero_copy_only=False)
+    if good.any():
+        out[good] = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return out
 
 
@@ -26,56 +30,44 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 6, scope: str | None
     """``qid, rec_id, sim, rank``: the k vectors with the largest inner product per query.
 
     ``vectors`` has ``rec_id, embedding`` and ``queries`` ``qid, embedding``; with ``scope``, a column
-    of both, a query with a null there searches everything and others only their own. Equal similarities (to ``digits``
-    digits) are ranked by rec_id. The queries are counted first and taken in blocks
-    of bounded size; every task keeps k hits per query and batch, so k rows
-    per query and task meet in the final window, not one per pair.
+    of both, a query with a null there searches everything and others only their own (vectors of
+    scopes nobody asks for are not read if every query has one). Equal similarities (to
+    ``digits`` digits) are ranked by rec_id. A null vector, one with null components, or of another length than the
+    first is no hit; queries without a vector find nothing, and queries of another length are an error. The
+    queries are counted first and taken in blocks of bounded size; every task keeps the k best per query as it
+    goes, so k rows per query and task meet in the final window.
     """
-    spark = vectors.sparkSession
-    q = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(scope).cast("string").alias("scope")] if scope else []))
-    head = q.where("embedding is not null").select(F.size("embedding").alias("d"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n")).first()
-    schema = "qid long, rec_id long, sim double"
-    v = vectors.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(scope).cast("string").alias("scope")] if scope else []))
-    out = None
-    blocks = 0 if head is None else head.n * head.d * 8 // block_bytes + 1
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").collect()
-        rows = [r for r in rows if r.embedding is not None and len(r.embedding) == head.d and None not in r.embedding]
-        if not rows:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), np.array([r.embedding for r in rows]), [r.scope for r in rows] if scope else None))
+    text = [F.col(scope).cast("string").alias("scope")] if scope else []
+    q = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding"), *text)
+    v = vectors.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *text)
+    sizes = {r["d"]: r["n"] for r in q.where("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = v.selectExpr("rec_id as qid", "rec_id", "0d as sim").where("false")
+    first = v.where("embedding is not null").select(F.size("embedding").alias("d")).first()
+    if first is not None and sizes:
+        if set(sizes) != {first["d"]}:
+            raise ValueError(f"queries have vectors of {sorted(sizes)} components, the records of {first['d']}")
+        for rows in topk.blocks(q, sizes[first["d"]] * first["d"] * 8 // block_bytes + 1):
+            rows = [r for r in rows if r.embedding is not None and None not in r.embedding]
+            if rows:
+                scopes = [r.scope for r in rows] if scope else None
+                found = found.unionByName(_scan(topk.within(v, scopes), rows, scopes, k, digits))
+    return topk.ranked(found, "sim", k)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qids, matrix, scopes = held.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(at, 4096)
-                    ids = batch.column(0).to_numpy()
-                    sims = np.round(_matrix(batch.column(1), matrix.shape[1]) @ matrix.T, digits)
-                    if scopes is not None:
-                        own = np.array(batch.column(2).to_pylist(), object)
-                        for j, s in enumerate(scopes):
-                            if s is not None:
-                                sims[own != s, j] = np.nan
-                    sims[np.isnan(sims)] = -np.inf
-                    found = []
-                    for j in range(len(qids)):
-                        top = np.lexsort((ids, -sims[:, j]))[:k] if len(ids) <= 4 * k else _top(ids, sims[:, j], k)
-                        top = top[sims[top, j] > -np.inf]
-                        found.append((np.full(len(top), qids[j]), ids[top], sims[top, j]))
-                    a, c, s = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], ["qid", "rec_id", "sim"])
 
-        part = v.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = v.selectExpr("rec_id as qid", "rec_id", "0d as sim").where("false")
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "rec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _scan(v: DataFrame, rows: list, scopes: list | None, k: int, digits: int) -> DataFrame:
+    held = v.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.embedding for r in rows]), scopes if scopes is None else np.array(scopes, object)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix, asked = held.value
+        best = topk.Best(qids, k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                m = _matrix(batch.column(1), matrix.shape[1])
+                own = None if asked is None else np.array(batch.column(2).to_pylist(), object)
+                sims = topk.scored(own, asked, len(m), len(qids), lambda r, q, m=m: np.round(m[r] @ matrix[q].T, digits))
+                sims[np.isnan(sims)] = -np.inf
+                best.add(batch.column(0).to_numpy(), sims)
+        yield best.batch("sim")
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best, ties by id, without sorting everything."""
-    least = np.partition(sims, len(sims) - k)[len(sims) - k]
-    some = np.flatnonzero(sims >= least)
-    return some[np.lexsort((ids[some], -sims[some]))[:k]]
+    return v.mapInArrow(run, "qid long, rec_id long, sim double")

@@ -11,17 +11,19 @@ from folioflow.operators import cleaning, qa, quality, sections, tables
 from .common import HEADING, STRIP, documents, table
 from .registry import query
 
-_CHUNKS = rf"""
-  SELECT doc_id, (i)::INT AS piece, {STRIP.format("substr(text, i * 1000 + 1, 1000)")} AS text
-  FROM documents, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS t(i)
-  WHERE length({STRIP.format("substr(text, i * 1000 + 1, 1000)")}) > 50"""
 
 
-def _pieces(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
-    text = F.col("text")
-    n = F.ceil(F.length(text) / F.lit(size)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: X.strip(F.substr(text, i * size + 1, F.lit(size))))
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(cut).alias("piece", "text")).where(F.length("text") > 50)
+def _windows(text: str) -> str:
+    """DuckDB: stripped pieces of 1000 characters, without those of 50 or fewer."""
+    piece = STRIP.format(f"substr({text}, i * 1000 + 1, 1000)")
+    return f"list_filter(list_transform(range(0, greatest(1, CAST(ceil(length({text}) / 1000.0) AS BIGINT))), lambda i: {piece}), lambda p: length(p) > 50)"
+
+
+_CHUNKS = f"""SELECT doc_id, i::INT AS piece, c[i + 1] AS text FROM (SELECT doc_id, {_windows("coalesce(text, '')")} AS c FROM documents), unnest(range(0, len(c))) AS u(i)"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(sections.sliding(F.col("text"))).alias("piece", "text"))
 
 
 @query(f"SELECT doc_id, piece, length(text)::INT AS n_chars, md5(text) AS digest FROM ({_CHUNKS})")
@@ -127,16 +129,19 @@ def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.sharegpt(pairs).select("conv_id", "turn", F.md5(F.col("conversations")[0]["content"]).alias("question"), F.md5(F.col("conversations")[1]["content"]).alias("answer"))
 
 
-@query(rf"""WITH RECURSIVE c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) AS k, length(text) AS n FROM ({_CHUNKS})),
-  g AS (SELECT doc_id, k, n AS chars, 1 AS gid FROM c WHERE k = 1 UNION ALL
-        SELECT c.doc_id, c.k, CASE WHEN g.chars + c.n > 2500 THEN c.n ELSE g.chars + c.n END, CASE WHEN g.chars + c.n > 2500 THEN g.gid + 1 ELSE g.gid END FROM g JOIN c ON c.doc_id = g.doc_id AND c.k = g.k + 1)
+@query(rf"""WITH RECURSIVE a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) AS k, length(text) AS n, piece % 4 = 3 AS kind, length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text) AS ratio FROM ({_CHUNKS})),
+  c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM a WHERE kind OR ratio < 0.01),
+  g AS (SELECT doc_id, pos, k, kind, n AS chars, 1 AS gid FROM c WHERE pos = 1 UNION ALL
+        SELECT c.doc_id, c.pos, c.k, c.kind, CASE WHEN g.kind <> c.kind OR g.chars + c.n > 2500 THEN c.n ELSE g.chars + c.n END, CASE WHEN g.kind <> c.kind OR g.chars + c.n > 2500 THEN g.gid + 1 ELSE g.gid END
+        FROM g JOIN c ON c.doc_id = g.doc_id AND c.pos = g.pos + 1)
   SELECT doc_id, gid AS group_id, count(*)::INT AS n_chunks, max(chars)::INT AS chars, min(k)::INT AS first_chunk FROM g GROUP BY doc_id, gid""")
 def group_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth chunk stands for a table; chunks of a hundredth digits count as digit-dense here."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id").orderBy("piece")
-    c = _pieces(spark, sf_dir).select("doc_id", F.row_number().over(order).alias("chunk_id"), "text", F.lit(False).alias("is_table"))
-    return qa.packed(c, budget=2500, dense=2.0).select("doc_id", "group_id", "n_chunks", "chars", "first_chunk")
+    c = _pieces(spark, sf_dir).select("doc_id", F.row_number().over(order).alias("chunk_id"), "text", (F.col("piece") % 4 == 3).alias("is_table"))
+    return qa.packed(c, budget=2500, dense=0.01).select("doc_id", "group_id", "n_chunks", "chars", "first_chunk")
 
 
 _SECTIONS = rf"""(SELECT doc_id, regexp_extract_all(t, '{HEADING}') AS heads, string_split_regex(t, '{HEADING}') AS bodies FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
@@ -157,10 +162,24 @@ def section_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(sections.reorder(t, HEADING, F.length)).alias("digest"), sections.dropped_chars(t, HEADING).alias("dropped"))
 
 
-@query(f"""SELECT s.doc_id, len(heads)::INT AS n_anchors, CASE WHEN len(heads) >= 2 THEN len(heads) ELSE 0 END::INT AS n_sections, length(coalesce(text, ''))::INT AS n_chars FROM {_SECTIONS} s JOIN documents d USING (doc_id)""")
+_PARTS = f"""(SELECT doc_id, t, heads, list_filter(flatten(list_transform(raw, lambda r: CASE WHEN length(r) > 1000 THEN {_windows("r")} ELSE [r] END)), lambda p: length(p) > 50) AS c FROM
+  (SELECT s.doc_id, coalesce(d.text, '') AS t, heads, CASE WHEN len(heads) >= 2 THEN list_transform(range(0, len(heads)), lambda j: {STRIP.format(STRIP.format("heads[j + 1]") + " || chr(10) || " + STRIP.format("bodies[j + 2]"))})
+    ELSE {_windows("coalesce(d.text, '')")} END AS raw FROM {_SECTIONS} s JOIN documents d USING (doc_id)))"""
+_RATIO = "length(regexp_replace(p, '[^0-9]', '', 'g')) / greatest(1, length(p))"
+
+
+@query(f"SELECT doc_id, i::INT AS at, md5(c[i + 1]) AS digest FROM {_PARTS}, unnest(range(0, len(c))) AS u(i)")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their headings, long ones cut further; windows where a text has no sections."""
+    c = sections.chunks(F.col("text"), anchor=HEADING)
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(c).alias("at", "c")).select("doc_id", "at", F.md5("c").alias("digest"))
+
+
+@query(f"""SELECT doc_id, len(heads)::INT AS n_anchors, CASE WHEN len(heads) >= 2 THEN len(heads) ELSE 0 END::INT AS n_sections, len(c)::INT AS n_chunks, coalesce(list_sum(list_transform(c, lambda p: length(p))), 0)::INT AS kept_chars,
+  round(coalesce(list_sum(list_transform(c, lambda p: length(p))), 0) / greatest(length(t), 1), 9) AS kept_ratio, round(list_avg(list_transform(c, lambda p: {_RATIO})), 9) AS mean_digit_ratio FROM {_PARTS}""")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sections.retention(documents(spark, sf_dir), HEADING).select("doc_id", "n_anchors", "n_sections")
-    return r.join(documents(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars")), "doc_id")
+    r = sections.retention(documents(spark, sf_dir), HEADING)
+    return r.withColumns({c: F.round(c, 9) for c in ("kept_ratio", "mean_digit_ratio")})
 
 
 @query("""SELECT r_name AS title, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '|', '/') || ' |', chr(10) ORDER BY n_nationkey) AS markdown
@@ -172,20 +191,82 @@ def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(F.col("r_name").alias("title")).agg(rows.alias("rows")).select("title", tables.markdown(F.col("rows")).alias("markdown"))
 
 
-@query("""SELECT lang, source, chr(12304) || lang || ' 第' || count(*) || '页' || chr(12305) AS label, count(*) AS n FROM documents GROUP BY lang, source""")
+#: Tables made of documents: pages that name several titles or none, cells that are null, padded or hold a bar, rows without content, rows too long and too short.
+_TABLES = r"""(SELECT doc_id, (doc_id % 9 + 1)::INT AS page_no, CASE doc_id % 4 WHEN 0 THEN '合并利润表' WHEN 1 THEN '利润表' WHEN 2 THEN '主要会计数据' END AS title,
+  '| name | value |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(source, '|', '/') || '/x | ' || coalesce(lang, '') || ' |' || chr(10) || '| ' || n_chars || ' |  |' AS markdown
+  FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 7 <> 0)"""
+
+
+def _found_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    cell = lambda *x: F.array(*[F.lit(v).cast("string") if v is None or isinstance(v, str) else v for v in x])
+    body = F.array(
+        cell(None, " "), cell("name", " value "), cell(F.concat("source", F.lit("|x")), F.col("lang"), "cut off"), cell("", None), cell(F.col("n_chars").cast("string"))
+    )
+    page = F.element_at(F.array(*map(F.lit, ["利润表之后是合并利润表", "现金流量表 与 利润表", "主要会计数据", "没有标题"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = F.when(F.col("doc_id") % 7 == 0, F.slice(body, 1, 2)).otherwise(body)  # a single row with content
+    return d.select("doc_id", (F.col("doc_id") % 9 + 1).cast("int").alias("page_no"), F.lit(0).alias("table_no"), page.alias("page_text"), rows.alias("rows"))
+
+
+@query(f"SELECT doc_id, page_no, title, md5(markdown) AS digest FROM {_TABLES}")
 def table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    return d.select("lang", "source", F.format_string("【%s 第%d页】", "lang", "n").alias("label"), "n")
+    t = tables.labelled(_found_tables(spark, sf_dir))
+    return t.select("doc_id", "page_no", "title", F.md5("markdown").alias("digest"))
+
+
+@query(rf"""WITH b AS (SELECT doc_id, 0 AS kind, piece AS pos, text FROM ({_CHUNKS}) UNION ALL SELECT doc_id, 1, page_no, '【' || title || ' 第' || page_no || '页】' || chr(10) || markdown FROM {_TABLES}),
+  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(regexp_replace(text, '\s+', '', 'g'), 1, 200) ORDER BY kind, pos) AS n FROM b)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY kind, pos)::INT AS chunk_id, kind = 1 AS is_table, md5(text) AS digest FROM k WHERE n = 1""")
+def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every document and its tables, without repeats, numbered from 1."""
+    c = sections.build_chunks(documents(spark, sf_dir), tables.labelled(_found_tables(spark, sf_dir)))
+    return c.select("doc_id", "chunk_id", "is_table", F.md5("text").alias("digest"))
 
 
-@query(None)
+_LINES = r"(SELECT doc_id, i // 8 AS page_no, i, regexp_replace(parts[i + 1], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(0, len(parts))) AS u(i))"
+
+
+@query(rf"""WITH l AS (SELECT * FROM {_LINES} WHERE NOT regexp_full_match(line, '\d+')),
+  e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY i) AS a, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY i DESC) AS z FROM l),
+  h AS (SELECT doc_id, line FROM e WHERE a = 1 GROUP BY ALL HAVING count(*) >= 3 AND length(line) > 2), f AS (SELECT doc_id, line FROM e WHERE z = 1 GROUP BY ALL HAVING count(*) >= 3 AND length(line) > 2),
+  x AS (SELECT e.* FROM e LEFT JOIN h ON e.doc_id = h.doc_id AND e.line = h.line WHERE NOT (a = 1 AND h.line IS NOT NULL)),
+  y AS (SELECT x.*, (line = '' OR length(line) <= 6 OR regexp_matches(line, '[。！？；：”]$'))::INT AS ends FROM x WHERE NOT (z = 1 AND (doc_id, line) IN (SELECT doc_id, line FROM f))),
+  s AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM y),
+  p AS (SELECT doc_id, island, string_agg(line, '' ORDER BY i) AS para FROM s WHERE line <> '' GROUP BY doc_id, island),
+  k AS (SELECT * FROM p WHERE NOT ((regexp_matches(para, '\.{{3,}}|…|─{{3,}}') OR regexp_matches(para, '^\S{{1,30}}\s+\d+\s*$')) AND NOT regexp_matches(para, '[。！？]')))
+  SELECT d.doc_id, md5(coalesce(string_agg(para, chr(10) ORDER BY island), '')) AS digest FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id""")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain, NFKC included, which DuckDB lacks."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
-    return cleaning.clean_pages(d).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    """The whole chain over documents whose pages are eight lines each; NFKC changes nothing in these texts."""
+    lines = F.split("text", "\n")
+    page = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 8).cast("int")), lambda p: F.array_join(F.slice(lines, p * 8 + 1, F.lit(8)), "\n"))).alias("page_no", "text")
+    return cleaning.clean_pages(documents(spark, sf_dir).select("doc_id", page)).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query(None)
-def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of every document, sections first, numbered from 1."""
-    return sections.build_chunks(documents(spark, sf_dir)).select("doc_id", "chunk_id", F.length("text").alias("n_chars"), "is_table")
+_PAIRS = "(SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS instruction, answer AS output FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"
+
+
+@query(rf"""SELECT n, errors, round(1 - questions / n, 6) AS question_dup_rate, round(1 - pairs / n, 6) AS pair_dup_rate, n_short, n_long, min_len, median_len, max_len, mean_len FROM
+  (SELECT count(*) AS n, count(*) FILTER (coalesce(instruction, '') = '' OR coalesce(output, '') = '') AS errors, count(DISTINCT q) AS questions, count(DISTINCT q || chr(1) || o) AS pairs,
+    count(*) FILTER (length(output) < 15) AS n_short, count(*) FILTER (length(output) > 800) AS n_long, min(length(output)) AS min_len, max(length(output)) AS max_len, (sum(length(output)) // count(*))::BIGINT AS mean_len,
+    (list_sort(list(length(output))))[len(list(output)) // 2 + 1] AS median_len
+   FROM (SELECT *, lower(regexp_replace(instruction, '\s+', '', 'g')) AS q, lower(regexp_replace(output, '\s+', '', 'g')) AS o FROM {_PAIRS}))""")
+def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load, validity, duplicates and lengths of a question set in one row."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(w)).withColumn("output", F.lead("text").over(w))
+    pairs = c.where("role = 'user' and next_role = 'assistant'").select(F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text")).alias("instruction"), "output")
+    return quality.qa_report(pairs)
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (source IS NULL OR lang IS NULL OR text IS NULL) AS errors, count(*) FILTER (n_chars % 2 = 0) AS n_tables, count(DISTINCT source) AS n_sources FROM documents""")
+def chunk_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "documents").select("source", F.when(F.col("lang").isNotNull(), F.col("doc_id")).alias("chunk_id"), "text", (F.col("n_chars") % 2 == 0).alias("is_table"))
+    return quality.chunk_errors(c)
+
+
+@query(rf"""SELECT doc_id, old, new FROM (SELECT doc_id, md5(old) AS old, md5(cut) AS new, row_number() OVER (ORDER BY doc_id) AS r FROM
+  (SELECT doc_id, coalesce(text, '') AS old, regexp_replace(coalesce(text, ''), '{_TRACE}', '', 'g') AS cut FROM documents) WHERE old <> cut AND length(regexp_replace(cut, '^\s+|\s+$', '', 'g')) > 1) WHERE r <= 6""")
+def trace_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.trace_examples(documents(spark, sf_dir), "doc_id", "text", _TRACE).select("doc_id", F.md5("old").alias("old"), F.md5("new").alias("new"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators import acquisition, evaluate, incremental, qa
+from folioflow.lineage import fresh_path
+from folioflow.operators import acquisition, evaluate, incremental, judging, models, qa, retrieval
+from folioflow.sources import readers, writers
 
 from .common import table
 from .registry import query
@@ -25,23 +27,107 @@ def topn_first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, regexp_replace(regexp_replace(o_orderpriority || ':' || o_orderstatus || '?', '[\\/:*?"<>|\r\n\t]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe,
-  printf('%02d_%s_%s.pdf', (o_orderkey % 100)::INT, lpad(o_custkey::VARCHAR, 6, '0'), strftime(o_orderdate, '%Y-%m-%d')) AS file FROM orders""")
+  printf('%02d_%s_%s_%s.pdf', (o_orderkey % 100)::INT, lpad(o_custkey::VARCHAR, 6, '0'), regexp_replace(regexp_replace(o_orderpriority || ':' || o_orderstatus || '?', '[\\/:*?"<>|\r\n\t]+', '_', 'g'), '^_+|_+$', '', 'g'), strftime(o_orderdate, '%Y-%m-%d')) AS file FROM orders""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     date = X.millis_to_date(F.unix_millis(F.col("o_orderdate").cast("timestamp")))
-    return o.select(
-        "o_orderkey", date.alias("date"), X.safe_name(F.concat("o_orderpriority", F.lit(":"), "o_orderstatus", F.lit("?"))).alias("safe"),
-        F.format_string("%02d_%s_%s.pdf", (F.col("o_orderkey") % 100).cast("int"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"), date).alias("file"),
-    )
+    name = F.concat("o_orderpriority", F.lit(":"), "o_orderstatus", F.lit("?"))
+    file = X.report_file((F.col("o_orderkey") % 100).cast("int"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"), name, date)
+    return o.select("o_orderkey", date.alias("date"), X.safe_name(name).alias("safe"), file.alias("file"))
 
 
-@query("""WITH f AS (SELECT c_custkey, printf('%02d_%s_%s_x.pdf', (c_custkey % 100)::INT, CASE WHEN c_custkey % 3 = 0 THEN '688' ELSE '300' END || lpad((c_custkey % 1000)::VARCHAR, 3, '0'), replace(c_name, '#', ' ')) AS file FROM customer)
-  SELECT c_custkey, file, string_split(file, '_')[2] AS code, replace(string_split(file, '_')[3], ' ', '') AS company, string_split(file, '_')[3] AS label, replace(file, '.pdf', '') AS stem,
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '年度报告' WHEN 1 THEN source || '年度报告摘要' WHEN 2 THEN '年度报告（英文版）' WHEN 3 THEN source || '季度报告' END AS title FROM documents)
+  SELECT doc_id, coalesce(contains(title, '年度报告') AND NOT contains(title, '摘要') AND NOT contains(title, '英文'), false) AS annual FROM t""")
+def report_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, source = F.col("doc_id") % 5, F.col("source")
+    title = F.when(k == 0, F.concat(source, F.lit("年度报告"))).when(k == 1, F.concat(source, F.lit("年度报告摘要"))).when(k == 2, "年度报告（英文版）").when(k == 3, F.concat(source, F.lit("季度报告")))
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_annual_report(title).alias("annual"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderstatus, epoch_ms(o_orderdate) AS t, row_number() OVER (ORDER BY epoch_ms(o_orderdate) DESC, o_orderkey)::INT AS idx FROM orders WHERE o_orderkey % 50 = 0)
+  SELECT idx, o_custkey::VARCHAR AS code, 'http://files.example/' || o_orderkey AS url, printf('%02d_%s_%s_%s.pdf', idx, o_custkey::VARCHAR, o_orderstatus, strftime(make_timestamp_ms(t), '%Y-%m-%d')) AS file FROM r WHERE o_orderkey % 3 <> 0""")
+def report_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    r = o.select(
+        F.col("o_custkey").cast("string").alias("secCode"), F.col("o_orderstatus").alias("secName"), F.lit("").alias("announcementTitle"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("announcementTime"),
+        F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.concat(F.lit("/"), F.col("o_orderkey").cast("string"))).alias("adjunctUrl"), F.col("o_orderkey").alias("seen"),
+    )
+    return acquisition.manifest(r, "http://files.example/").select("idx", "code", "url", "file")
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (k NOT IN (0, 1)) AS ok, count(*) FILTER (k = 0) AS skipped, count(*) FILTER (k = 1) AS failed FROM (SELECT c_custkey % 7 AS k FROM customer)""")
+def fetch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hosts, the first always down; some rows have no path and some files are nowhere."""
+
+    def fetch(url: str) -> bytes:
+        if url.startswith("http://down/") or url.endswith("/gone"):
+            raise OSError("no such file")
+        return url.encode()
+
+    k = F.col("c_custkey") % 7
+    m = table(spark, sf_dir, "customer").select("c_custkey", F.when(k == 1, "/gone").when(k > 1, F.col("c_name")).alias("adjunctUrl"))
+    return acquisition.fetch_report(readers.fetched(m, fetch, ["http://down/", "http://up/"], wait=0))
+
+
+@query("""SELECT c_custkey, a.o_totalprice AS answer FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey) a ON a.o_custkey = c_custkey""")
+def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored answers, those that failed left out."""
+    stored = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("answer"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("error"))
+    return incremental.looked_up(table(spark, sf_dir, "customer").select("c_custkey"), stored, "c_custkey", "answer", "o_orderkey", "error")
+
+
+@query("""SELECT doc_id AS qid, source AS gold_stem, CASE doc_id % 3 WHEN 0 THEN [] WHEN 1 THEN [n_chars % 9] ELSE CASE WHEN n_chars % 9 = 4 THEN [4] ELSE list_sort([n_chars % 9, 4]) END END::INT[] AS gold_chunks FROM documents""")
+def gold_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold document and chunks of each question, from its source's name and the marks in its reference answer."""
+    mark = lambda c: F.concat(F.lit("见【块"), c.cast("string"), F.lit("】"))
+    a = mark(F.col("n_chars") % 9 + 1)
+    output = F.when(F.col("doc_id") % 3 == 0, "无").when(F.col("doc_id") % 3 == 1, a).otherwise(F.concat(a, mark(F.lit(5)), a))
+    ending = F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise("_chunks.json")
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.concat("source", ending).alias("source"), output.alias("output"))
+    return evaluate.gold_of(items)
+
+
+@query("""SELECT doc_id AS qid, CASE WHEN doc_id % 4 = 0 THEN lang ELSE source END AS company, 'Question: What of ' || source || '?' AS rewritten, contains('Question: What of ' || source || '?', CASE WHEN doc_id % 4 = 0 THEN lang ELSE source END) AS company_kept FROM documents""")
+def casual_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions put in other words by the offline generator; every fourth names another company."""
+    d = table(spark, sf_dir, "documents")
+    company = F.when(F.col("doc_id") % 4 == 0, F.col("lang")).otherwise(F.col("source"))
+    asked = d.select(F.col("doc_id").alias("qid"), company.alias("company"), F.concat(F.lit("What of "), "source", F.lit("?")).alias("question"))
+    return judging.rewritten(asked, models.echo_generator).select("qid", "company", "rewritten", "company_kept")
+
+
+@query("""SELECT label::VARCHAR AS company, list(vec_id ORDER BY vec_id) AS rec_ids FROM embeddings GROUP BY label""")
+def company_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("company"), F.col("vec_id").alias("rec_id"))
+    return retrieval.groups(e)
+
+
+@query(r"""WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ord, CASE WHEN item_id % 6 = 0 THEN ' ' ELSE text END AS text,
+    CASE item_id % 3 WHEN 0 THEN printf('%02d_600001_Firm %d_x_chunks.json', (item_id % 100)::INT, (item_id % 7)::INT) WHEN 1 THEN printf('Firm_%d.pdf', (item_id % 7)::INT) END AS source FROM benchmark)
+  SELECT row_number() OVER (ORDER BY ord) - 1 AS rec_id, ord::INT AS chunk_idx, md5(text) AS digest, CASE item_id % 3 WHEN 0 THEN printf('Firm %d', (item_id % 7)::INT) WHEN 1 THEN printf('Firm_%d', (item_id % 7)::INT) ELSE 'merged' END AS company
+  FROM b WHERE trim(text) <> ''""")
+def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merged chunk file, written as one JSON array and read back as index records; items without a source are the file's own."""
+    k, firm = F.col("item_id") % 3, (F.col("item_id") % 7).cast("int")
+    source = F.when(k == 0, F.format_string("%02d_600001_Firm %d_x_chunks.json", (F.col("item_id") % 100).cast("int"), firm)).when(k == 1, F.format_string("Firm_%d.pdf", firm))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 6 == 0, " ").otherwise(F.col("text")).alias("text"), source.alias("source"))
+    path = fresh_path(spark, "merged")
+    writers.json_array(b, path, ["item_id"])
+    r = readers.chunk_records(spark, path, "*.txt")
+    own = F.when(F.startswith("file", F.lit("part-")), "merged").otherwise(F.col("company"))
+    return r.select("rec_id", "chunk_idx", F.md5("text").alias("digest"), own.alias("company"))
+
+
+@query("""WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 7 THEN printf('Firm %d_chunks.json', c_custkey % 100) WHEN c_custkey % 10 = 8 THEN printf('Firm %d_x.pdf', c_custkey % 100) ELSE
+    printf('%02d_%s_%s_x.pdf', (c_custkey % 100)::INT, CASE WHEN c_custkey % 3 = 0 THEN '688' ELSE '300' END || lpad((c_custkey % 1000)::VARCHAR, 3, '0'), replace(c_name, '#', ' ')) END AS file FROM customer)
+  SELECT c_custkey, file, CASE WHEN c_custkey % 10 IN (7, 8) THEN NULL ELSE string_split(file, '_')[2] END AS code, CASE WHEN c_custkey % 10 IN (7, 8) THEN string_split(file, '_')[1] ELSE replace(string_split(file, '_')[3], ' ', '') END AS company,
+  CASE c_custkey % 10 WHEN 7 THEN string_split(file, '_')[1] WHEN 8 THEN replace(file, '.pdf', '') ELSE string_split(file, '_')[3] END AS label, regexp_replace(file, '_chunks\\.json|\\.pdf', '') AS stem,
   CASE WHEN contains(file, '688') THEN '科创板' WHEN regexp_matches(file, '30[0-9]{4}') THEN '创业板' WHEN contains(file, 'ST') THEN 'ST风险' ELSE '主板' END AS board FROM f""")
 def file_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
+    k, few = F.col("c_custkey") % 10, F.col("c_custkey") % 100
     code = F.concat(F.when(F.col("c_custkey") % 3 == 0, "688").otherwise("300"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))
-    file = F.format_string("%02d_%s_%s_x.pdf", (F.col("c_custkey") % 100).cast("int"), code, F.replace("c_name", F.lit("#"), F.lit(" ")))
+    file = F.when(k == 7, F.format_string("Firm %d_chunks.json", few)).when(k == 8, F.format_string("Firm %d_x.pdf", few)).otherwise(F.format_string("%02d_%s_%s_x.pdf", few.cast("int"), code, F.replace("c_name", F.lit("#"), F.lit(" "))))
     f = c.select("c_custkey", file.alias("file"))
     n = F.col("file")
     return f.select("c_custkey", "file", X.stock_code(n).alias("code"), X.company_key(n).alias("company"), X.company_label(n).alias("label"), X.stem(n).alias("stem"), X.board(n).alias("board"))

@@ -102,13 +102,12 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(fusion.fuse(v, b, k=20), r, q)
 
 
-@query(f"""{_HYBRID} SELECT r.qid, md5(string_agg('[' || r.rank || '] ' || coalesce(d.text, ''), chr(10) ORDER BY r.rank)) AS ctx, count(*) AS n FROM ranked r JOIN documents d ON d.doc_id = r.rec_id
-  WHERE r.rank <= 6 GROUP BY r.qid""")
+@query(f"""{_HYBRID} SELECT qid, md5(string_agg('[' || i || '] ' || text, chr(10) ORDER BY i)) AS ctx, count(*)::INT AS n FROM
+  (SELECT r.qid, coalesce(d.text, '') AS text, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS i FROM ranked r JOIN documents d ON d.doc_id = r.rec_id WHERE r.rank <= 6) GROUP BY qid""")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, _ = _texts(spark, sf_dir)
     v, b = _arms(spark, sf_dir)
-    found = retrieval.hits(fusion.fuse(v, b), r)
-    return retrieval.context(found).select("qid", F.md5("ctx").alias("ctx")).join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid")
+    return retrieval.context(retrieval.hits(fusion.fuse(v, b), r), count="n").withColumn("ctx", F.md5("ctx"))
 
 
 @query(f"{_HYBRID} SELECT r.qid, r.rank, replace(substr(d.text, 1, 60), chr(10), ' ') AS preview FROM ranked r JOIN documents d ON d.doc_id = r.rec_id WHERE r.rank <= 6")
@@ -158,9 +157,22 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall(ranked, gold, records)
 
 
-@query(None)
+@query(rf"""WITH {_BM25.replace("FROM documents)", "FROM (SELECT coalesce(doc_id, vec_id) AS doc_id, text FROM documents FULL JOIN embeddings ON doc_id = vec_id))", 1)},
+  sims AS (SELECT b.item_id AS qid, v.vec_id AS rec_id, {_SIM} AS sim FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v),
+  vec AS (SELECT qid, rec_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, rec_id)::INT AS rank FROM sims),
+  vec_own AS (SELECT qid, rec_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, rec_id)::INT AS rank FROM sims WHERE rec_id % 10 = qid % 10 OR qid % 2 <> 0),
+  bm25_own AS (SELECT qid, rec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rec_id)::INT AS rank FROM scored WHERE rec_id % 10 = qid % 10 OR qid % 2 <> 0),
+  arms AS (SELECT 'all' AS arm, 'v' AS kind, qid, rec_id, rank FROM vec WHERE rank <= 20 UNION ALL SELECT 'own', 'v', qid, rec_id, rank FROM vec_own WHERE rank <= 20
+    UNION ALL SELECT 'all', 'b', qid, rec_id, rank FROM bm25 WHERE score > 0 UNION ALL SELECT 'own', 'b', qid, rec_id, rank FROM bm25_own WHERE rank <= 20 AND score > 0),
+  fused AS (SELECT arm, qid, rec_id, max(rank) FILTER (kind = 'v') AS vec_rank, max(rank) FILTER (kind = 'b') AS bm25_rank FROM arms GROUP BY arm, qid, rec_id),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY arm, qid ORDER BY coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) DESC, vec_rank NULLS LAST, bm25_rank NULLS LAST, rec_id)::INT AS rank FROM fused),
+  pairs AS (SELECT r.arm, r.qid, r.rec_id, r.rank AS rank_before, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+')) AS q, regexp_extract_all(lower(coalesce(d.text, '')), '[\p{{L}}\p{{N}}]+') AS t
+    FROM ranked r JOIN benchmark b ON b.item_id = r.qid LEFT JOIN documents d ON d.doc_id = r.rec_id WHERE r.rank <= 20),
+  reranked AS (SELECT arm, qid, rec_id, row_number() OVER (PARTITION BY arm, qid ORDER BY round(len(list_intersect(q, t)) / len(q), 9) DESC, rank_before)::INT AS rank FROM pairs)
+  SELECT 'vec' AS cfg, qid, rec_id, rank FROM vec WHERE rank <= 6 UNION ALL SELECT 'hybrid', qid, rec_id, rank FROM ranked WHERE arm = 'all' AND rank <= 6
+  UNION ALL SELECT CASE arm WHEN 'all' THEN 'hr' ELSE 'hr_route' END, qid, rec_id, rank FROM reranked WHERE rank <= 6""")
 def four_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All retrieval configurations over the same questions; the route is the benchmark item's number modulo the label."""
+    """All retrieval configurations over the same questions; the route of every second question is its number's last digit."""
     r, q = _hybrid_inputs(spark, sf_dir)
     r = r.withColumn("scope", (F.col("rec_id") % 10).cast("string"))
     q = q.withColumn("scope", F.when(F.col("qid") % 2 == 0, (F.col("qid") % 10).cast("string")))

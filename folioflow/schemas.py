@@ -1,8 +1,8 @@
-"""Explicit Spark schemas of the engine's datasets; nothing is inferred on production paths."""
+"""Explicit Spark schemas of the engine's datasets: what its scans and sinks read and write."""
 
 ANNOUNCEMENT = "secCode string, secName string, announcementTitle string, announcementTime long, adjunctUrl string, announcementId string"
 MANIFEST_ITEM = "idx int, code string, name string, title string, date string, url string, file string, size long"
-MANIFEST = f"count int, items array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in MANIFEST_ITEM.split(', ')))}>>"
+MANIFEST = "count int, items array<struct<idx:int,code:string,name:string,title:string,date:string,url:string,file:string,size:bigint>>"
 PAGE = "doc_id string, page_no int, text string"
 TABLE = "doc_id string, page_no int, table_no int, page_text string, rows array<array<string>>"
 CHUNK = "source string, chunk_id int, text string, is_table boolean"

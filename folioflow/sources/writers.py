@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import exists
+from folioflow.lineage import exists
 
 
 def overwrite(df: DataFrame, path: str, format: str = "parquet") -> None:
@@ -13,8 +13,13 @@ def overwrite(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").format(format).save(path)
 
 
-def json_array(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small report as one JSON array in a text file, in the given order."""
+def json_array(df: DataFrame, path: str, order: list[str], most: int = 1_000_000) -> None:
+    """A report as one JSON array in a text file, in the given order.
+
+    One file is one task's work: more than ``most`` rows are an error, and belong into :func:`overwrite`.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a JSON array takes {most} rows at most")
     rows = df.select(F.struct(*order).alias("o"), F.to_json(F.struct(*df.columns)).alias("j"))
     one = rows.agg(F.array_sort(F.collect_list(F.struct("o", "j"))).alias("r"))
     one.select(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ",\n"), F.lit("]"))).write.mode("overwrite").text(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import evaluate, fusion, judging, models, retrieval, routing, runs, text_index, vector
+from folioflow.operators import evaluate, fusion, judging, models, retrieval, routing, runs, text_index, topk, vector
 
 WORDS = "revenue profit asset board audit dividend share cost loan plant growth margin".split()
 
@@ -43,7 +43,9 @@ def okapi(texts, query):
 
 
 def test_bm25_is_okapi_over_the_whole_corpus(records, questions, texts):
-    got = {(r.qid, r.rec_id): r.score for r in text_index.scores(records, questions).collect()}
+    got = {(r.qid, r.rec_id): r.score for r in text_index.search(records, questions, 1000).collect()}
+    some = {(r.qid, r.rec_id): r.score for r in text_index.search(records, questions, 1000, block_tokens=3).collect()}
+    assert got == some
     for q, words in ((0, "audit cost of c1"), (1, "profit of 600002 margin margin")):
         want = okapi(texts, words)
         assert all(got.get((q, k), 0.0) == pytest.approx(s, abs=1e-6) for k, s in enumerate(want))
@@ -63,7 +65,33 @@ def test_vector_search_is_exact(spark):
                 pool = [k for k in range(80) if not (scope and q % 2) or k % 3 == 1]
                 best = sorted(pool, key=lambda k: (-s[k], k))[:5]
                 assert [got[q, n] for n in range(1, 6)] == best
-    assert vector.search(vectors, queries.limit(0)).collect() == []
+    assert vector.search(vectors, queries.limit(0)).collect() == [] == vector.search(vectors.limit(0), queries).collect()
+    with pytest.raises(ValueError):
+        vector.search(vectors, queries.unionByName(spark.createDataFrame([(50, [1.0, 2.0], None)], queries.schema)))
+    own = queries.where("scope is not null")
+    assert "In(scope" in vector.search(vectors, own, 5, "scope")._jdf.queryExecution().executedPlan().toString() or "scope" in vector.search(vectors, own, 5, "scope")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bm25_within_scopes(spark, records, questions, texts):
+    q = questions.withColumn("scope", F.when(F.col("qid") == 0, "C1"))
+    r = records.withColumn("scope", F.col("company"))
+    out = text_index.search(r, q, 5, "scope").collect()
+    want = okapi(texts, "audit cost of c1")
+    best = sorted((k for k in range(1, 60, 4) if want[k] > 0), key=lambda k: (-round(want[k], 9), k))[:5]
+    assert [x.rec_id for x in sorted(out, key=lambda x: x["rank"]) if x.qid == 0] == best
+    assert len({x.rec_id % 4 for x in out if x.qid == 1}) > 1
+
+
+def test_best_keeps_the_first_of_ties():
+    rng = np.random.default_rng(4)
+    scores = rng.integers(0, 6, (300, 5)).astype(float)
+    scores[scores == 0] = -np.inf
+    best = topk.Best(np.arange(5), 7)
+    for at in range(0, 300, 11):
+        best.add(np.arange(300)[at : at + 11], scores[at : at + 11])
+    for j in range(5):
+        want = sorted((k for k in range(300) if scores[k, j] > -np.inf), key=lambda k: (-scores[k, j], k))[:7]
+        assert best.ids[j].tolist() == want
 
 
 def test_fusion_is_symmetric_and_breaks_ties(spark):
@@ -123,6 +151,36 @@ def test_ablation_skips_what_is_done_and_counts_errors(spark, records, questions
         runs.ablation(q, records, judging.overlap_judge, configs=("vec",), done=done)
 
 
+def test_answers_are_kept_and_failed_ones_asked_again(spark, records, questions, tmp_path):
+    q = runs.routed(questions, records)
+    store, log = f"{tmp_path}/answers", f"{tmp_path}/log"
+
+    def generator(broken):
+        def factory():
+            def call(prompt):
+                with open(log, "a") as f:
+                    f.write(prompt.rpartition("\n")[2] + "\n")
+                if broken and "dividend" in prompt.rpartition("\n")[2]:
+                    raise OSError("down")
+                return "answer"
+
+            return call
+
+        return factory
+
+    first = runs.answered(q, records, "vec", generator(True), store=store, every=2, tries=1).collect()
+    assert len(first) == 4 and sum(r.error for r in first) == 1
+    second = runs.answered(q, records, "vec", generator(False), store=store, every=2, tries=1).collect()
+    assert len(second) == 4 and not any(r.error for r in second)
+    assert sorted(open(log).read().split("\n")).count("Question: dividend") == 2 and len(open(log).read().splitlines()) == 5
+
+
+def test_one_question_with_its_seconds(spark, records):
+    got = runs.asked(spark, records, "audit cost of C1", models.echo_generator(), models.hashing_embedder(), "hr", k=3)
+    assert got["scope"] == "C1" and len(got["hits"]) == 3 and {h.company for h in got["hits"]} == {"C1"} and got["answer"] == "Question: audit cost of C1"
+    assert got["total"] >= got["route"] + got["recall"] + got["rerank"] + got["generate"] - 1e-6 and got["recall"] > 0
+
+
 def test_refusal_robustness_and_both_sides(spark, records, questions):
     q = runs.routed(questions, records).withColumn("type", F.when(F.col("qid") < 2, "a").otherwise("b")).withColumn("orig_judge", F.lit(1))
     no = lambda: lambda prompt: "There is no basis." if judging.GUARD in prompt else "It was 12."
@@ -152,6 +210,15 @@ def test_reports(spark):
     p = evaluate.paired(rows, "id", "a", "b").first()
     assert (p.n, p.delta_pp, p.regressed, p.improved) == (3, 0.0, [1], [2])
     assert [r.running for r in evaluate.running_mean(rows, "a", "id").orderBy("id").collect()] == [1.0, 0.5, pytest.approx(2 / 3, abs=1e-6)]
+    many = spark.createDataFrame([(k % 3, k, float(k % 7)) for k in range(400)], "g int, k int, v double")
+    out = evaluate.running_mean(many, "v", "k", "g").collect()
+    for r in out:
+        own = [x % 7 for x in range(400) if x % 3 == r.g and x <= r.k]
+        assert r.running == pytest.approx(sum(own) / len(own), abs=1e-6)
+    none = evaluate.paired(rows.where("id = 3"), "id", "a", "b").first()
+    assert (none.regressed, none.improved) == ([], [])
+    with pytest.raises(Exception, match="too many flips"):
+        evaluate.paired(rows, "id", "a", "b", most=1).collect()
     t = runs.timed(spark, {"count": lambda: rows.groupBy("a").count()}, repeats=2)
     assert t.count() == 2 and t.where("seconds > 0").count() == 2
 

@@ -32,11 +32,12 @@ def test_json_scans(spark, tmp_path):
 
 
 def test_chunk_files_keep_their_ordinals(spark, tmp_path):
-    dump(tmp_path / "c" / "02_600002_乙_x_chunks.json", ["one", "  ", {"text": "three", "source": "s"}])
+    dump(tmp_path / "c" / "02_600002_乙_x_chunks.json", ["one", "  ", {"text": "three", "source": "03_600003_丙_x.pdf"}])
     dump(tmp_path / "c" / "01_600001_甲_x_chunks.json", ["zero"])
     dump(tmp_path / "c" / "03_none.json", {"not": "a list"})
     out = readers.chunk_records(spark, f"{tmp_path}/c").orderBy("rec_id").collect()
-    assert [(r.rec_id, r.company, r.chunk_idx, r.text) for r in out] == [(0, "甲", 0, "zero"), (1, "乙", 0, "one"), (2, "乙", 2, "three")]
+    assert [(r.rec_id, r.company, r.chunk_idx, r.text) for r in out] == [(0, "甲", 0, "zero"), (1, "乙", 0, "one"), (2, "丙", 2, "three")]
+    assert [r.file for r in out][2] == "03_600003_丙_x.pdf"
 
 
 class Parser:
@@ -57,9 +58,8 @@ def test_document_scans(spark, tmp_path):
     pages = readers.pdf_pages(spark, str(tmp_path), Parser).collect()
     assert sorted((r.doc_id, r.page_no, r.text) for r in pages if r.error is None) == [("a.pdf", 0, "table"), ("b.pdf", 0, "one"), ("b.pdf", 1, "two")]
     assert [r.doc_id for r in pages if r.error] == ["c.pdf"]
-    (tmp_path / "c.pdf").unlink()
-    t = readers.pdf_tables(spark, str(tmp_path), Parser).first()
-    assert (t.doc_id, t.page_no, t.rows) == ("a.pdf", 1, [["a", None], ["1", "2"]])
+    t = {r.doc_id: r for r in readers.pdf_tables(spark, str(tmp_path), Parser).collect()}
+    assert (t["a.pdf"].page_no, t["a.pdf"].rows) == (1, [["a", None], ["1", "2"]]) and "ValueError" in t["c.pdf"].error and set(t) == {"a.pdf", "c.pdf"}
 
 
 def test_fetching_tries_hosts_in_turn(spark):
@@ -69,10 +69,10 @@ def test_fetching_tries_hosts_in_turn(spark):
         return url.encode()
 
     m = spark.createDataFrame([("1", "/x"), ("2", None)], "code string, adjunctUrl string")
-    out = {r.code: r for r in readers.fetched(m, fetch, ["http://down/", "http://up/"]).collect()}
+    out = {r.code: r for r in readers.fetched(m, fetch, ["http://down/", "http://up/"], wait=0).collect()}
     assert (bytes(out["1"].content), out["1"].host, out["1"].status) == (b"http://up/x", "http://up/", "ok")
     assert out["2"].status == "skipped" and out["2"].content is None
-    assert "failed" in readers.fetched(m, fetch, ["http://down"]).where("code = 1").first().status
+    assert "failed" in readers.fetched(m, fetch, ["http://down"], wait=0).where("code = 1").first().status
 
 
 def test_paged_source(spark, tmp_path):
@@ -81,6 +81,53 @@ def test_paged_source(spark, tmp_path):
     spark.dataSource.register(readers.PagedSource)
     rows = spark.read.format("paged_announcements").option("files", str(tmp_path)).option("pages", 3).load().collect()
     assert sorted((r.secCode, r.announcementTime) for r in rows) == [("1", 1000), ("2", 2000)]
+    dump(tmp_path / "4.json", {"announcements": [{"secCode": "4", "announcementTitle": "年度报告"}]})
+    read = lambda **o: sorted(r.secCode for r in spark.read.format("paged_announcements").options(files=str(tmp_path), **o).load().collect())
+    assert read() == ["1", "2"]  # the third page fails, so the fourth is not asked for
+    assert read(companies=1) == ["1"]
+
+
+def test_draws_from_draws(spark):
+    import random
+
+    from folioflow.operators import acquisition
+
+    want = random.Random(7).sample(random.Random(42).sample(range(50), 20), 8)
+    assert [r.id for r in acquisition.redrawn(spark.range(50), "id", (20, 8)).orderBy("draw").collect()] == want
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from folioflow import __main__ as commands
+
+    for n in range(3):
+        (tmp_path / "pdf").mkdir(exist_ok=True)
+        (tmp_path / "pdf" / f"0{n}_60000{n}_Firm{n}_x.pdf").write_bytes(f"Report of Firm{n}. ".encode() * 30 + b"\fsecond page")
+    run = lambda *a: commands.main(list(map(str, a)), spark)
+    run("chunks", "--pdf", tmp_path / "pdf", "--out", tmp_path / "chunks", "--parser", "tests.test_sources:Parser")
+    run("index", "--chunks", tmp_path / "chunks", "--out", tmp_path / "index")
+    run("ask", "--index", tmp_path / "index", "-q", "what of Firm1?", "-k", 2, "--hybrid", "--show-hits")
+    assert "Firm1" in capsys.readouterr().out
+    run("qa", "--chunks", tmp_path / "chunks", "--out", tmp_path / "qa", "--generator", "tests.test_sources:replies")
+    run("qa", "--chunks", tmp_path / "chunks", "--out", tmp_path / "qa", "--generator", "tests.test_sources:replies")
+    assert spark.read.json(f"{tmp_path}/qa/alpaca").count() == 3  # what is done is not asked again
+    dump(tmp_path / "qa.json", [{"instruction": f"what of Firm{n}?", "output": "Report"} for n in range(3)])
+    run("check", "--qa", tmp_path / "qa.json")
+    run("ablation", "--index", tmp_path / "index", "--qa", tmp_path / "qa.json", "--out", tmp_path / "eval", "--configs", "vec,hr_route", "--workers", 2)
+    assert {r.cfg for r in spark.read.parquet(f"{tmp_path}/eval/reports").collect()} == {"vec", "hr_route"}
+    assert commands.arguments().parse_args(["ask", "--index", "x"]).candidates == 20
+
+
+def replies():
+    return lambda prompt: '[{"instruction": "q", "output": "a"}]'
+
+
+def test_adapters_name_what_is_missing():
+    from folioflow.operators import adapters
+
+    with pytest.raises(RuntimeError, match="needs the library"):
+        adapters.encoder("none")()
+    with pytest.raises(RuntimeError, match="needs the library"):
+        adapters.PdfFile().pages(b"")
 
 
 def test_settings_and_chat():
@@ -135,8 +182,7 @@ def test_windowed_counts_over_a_stream(spark, sf_dir):
 def test_every_query_matches_its_oracle(spark):
     import duckdb
 
-    sf_dir = "/root/testdata/sf0.01"  # at sf0.001 some vectors have no document and the SQL of context_assembly leaves gaps in the numbering
-
+    sf_dir = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.01")
     sys.path.insert(0, ROOT)
     import __spark_entry__ as entry
     from folioflow.plans import registry
