@@ -16,7 +16,6 @@ which c hit, (c - n f) / (1 - f) are expected to be members. The highest correct
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,18 +35,20 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 
 
 @lru_cache(maxsize=1)
-def _not_letters() -> re.Pattern:
-    """Whatever ``str.isalpha`` denies: the numbers that are no digits are letters to ``re``."""
-    numbers = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha())
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _letters() -> np.ndarray:
+    """For every code point whether it is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """Codes of all n-grams of the letters of a whole text, lower-cased, repeats included, in bounded arrays."""
-    letters = _not_letters().sub(" ", (text or "").lower()).strip()
-    if not letters:
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[codes]
+    if not letter.any():
         return
-    whole = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    # one space for each run of other characters between words, one before the first and one behind the last
+    kept = np.where(letter, codes, 32)[letter | np.r_[False, letter[:-1]]]
+    whole = np.r_[np.uint32(32), kept, np.full(int(letter[-1]), 32, np.uint32)]
     for at in range(0, len(whole), BLOCK):
         codes = whole[at : at + BLOCK + SIZES[-1] - 1].astype(np.uint64)
         space, out = codes == 32, []
