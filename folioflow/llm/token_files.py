@@ -32,8 +32,11 @@ LAYOUT = {
     "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true",
     "parquet.dictionary.page.size": 1 << 20,
 }
-#: Latin-1 letters, and what may follow them: ASCII marks, which are one unit to the tokenizer.
+#: Latin-1 letters (and the lower-case ones among them), and what may follow them: ASCII marks, which are one unit to the tokenizer.
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+LOWER_LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+#: Words in one string for the tokenizer; it takes longer over longer strings.
+TOGETHER = 100
 MARKS = r"[!-/:-@\[-`{-~]*$"
 
 
@@ -58,7 +61,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.pool = np.empty(1 << 20, np.int32)
         self.lies = np.zeros(CACHE + (1 << 18), np.int64)  # where the n-th core's ids begin; it ends where the next begins
         self.used = 0
@@ -66,7 +69,7 @@ class WordEncoder:
     def library(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _add(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def _add(self, names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
         n, at = len(self.known), self.used
         if at + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), np.int32)])
@@ -75,7 +78,7 @@ class WordEncoder:
         self.pool[at : at + len(ids)] = ids
         self.used = at + len(ids)
         self.lies[n + 1 : n + 1 + len(names)] = at + ends
-        self.known.update(zip(names, range(n, n + len(names))))
+        self.known = pa.concat_arrays([self.known, names])
 
     def _mark(self, text: str) -> np.ndarray:
         if len(text) > 8:
@@ -86,17 +89,20 @@ class WordEncoder:
             self.marks[text] = self.library(text)
         return self.marks[text]
 
-    def learn(self, new: list[str]) -> None:
-        simple = [w for w in new if w.isalpha() and w.islower() and max(w) < "\u0100"]
-        if simple:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.int32)
+    def learn(self, new: pa.Array) -> None:
+        """Add cores that are not known yet, those of letters a batch of words at a time."""
+        letters = pc.match_substring_regex(new, LOWER_LETTERS)
+        simple, other = new.filter(letters), new.filter(pc.invert(letters))
+        if len(simple):
+            words = simple.to_pylist()
+            each = self.tokenizer.encode_batch_fast([" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)], add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, np.int32) for e in each])
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(simple):
+            if len(ends) != len(words):
                 raise ValueError("the tokenizer does not keep words of letters apart")
             self._add(simple, ids, ends)
-        other = [w for w in new if w not in self.known]
-        if other:
-            each = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        if len(other):
+            each = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
             self._add(other, np.concatenate(each), np.cumsum([len(x) for x in each]))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +118,32 @@ class WordEncoder:
         ids_of = [self._mark(x) for x in mark.dictionary.to_pylist()]
         core_of = pc.replace_substring_regex(words, MARKS, "")
         keys = pc.if_else(plain, pc.utf8_lower(core_of), words).dictionary_encode()
-        names = keys.dictionary.to_pylist()
-        self.learn([w for w in names if w not in self.known])
-        core = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[keys.indices.to_numpy()]
-        # each occurring word: its core's ids, then its mark's; "" occurs at the ends of a text
-        begin, size = self.lies[core][index], (self.lies[core + 1] - self.lies[core])[index]
-        marks = mark.indices.to_numpy()[index]
-        extra = np.array([len(x) for x in ids_of], np.int64)[marks]
-        total = np.concatenate([[0], np.cumsum(size + extra)])
-        first, n = total[:-1], int(total[-1])
-        text_ends = total[bounds[1:]]
-        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))  # of each word: so many end ids stand before it
-        out = np.full(n + len(texts), end, np.int32)
-        own = np.cumsum(size)
+        names = keys.dictionary
+        at = pc.index_in(names, self.known)
+        if at.null_count:
+            self.learn(names.filter(at.is_null()))
+            at = pc.index_in(names, self.known)
+        core = at.to_numpy().astype(np.int64)[keys.indices.to_numpy()]
+        # each different word: its core's ids, then its mark's ("" occurs at the ends of a text); then the end id alone
+        begin, size = self.lies[core], self.lies[core + 1] - self.lies[core]
+        marks = mark.indices.to_numpy()
+        total = np.concatenate([[0], np.cumsum(size + np.array([len(x) for x in ids_of], np.int64)[marks])])
+        out = np.empty(int(total[-1]) + 1, np.int32)
+        out[-1] = end
+        first, own = total[:-1], np.cumsum(size)
         step = np.arange(int(own[-1]) if len(own) else 0)
-        out[np.repeat(first + doc - (own - size), size) + step] = self.pool[np.repeat(begin - (own - size), size) + step]
-        marked = np.flatnonzero(extra)
+        out[np.repeat(first - (own - size), size) + step] = self.pool[np.repeat(begin - (own - size), size) + step]
+        marked = np.flatnonzero(first + size < total[1:])
         order = marked[np.argsort(marks[marked], kind="stable")]
         for where in np.split(order, np.flatnonzero(np.diff(marks[order])) + 1):
             if len(where):
-                at = first[where] + doc[where] + size[where]
+                at = first[where] + size[where]
                 for j, x in enumerate(ids_of[marks[where[0]]]):
                     out[at + j] = x
-        return out, np.diff(np.concatenate([[0], text_ends])) + 1
+        different = pa.ListArray.from_arrays(pa.array(np.append(total, len(out)).astype(np.int32)), pa.array(out))
+        taken = different.take(pa.array(np.insert(index, bounds[1:], len(words))))
+        ends = taken.offsets.to_numpy()[bounds[1:] + np.arange(1, len(texts) + 1)]
+        return taken.values.to_numpy(), np.diff(ends, prepend=0).astype(np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}
