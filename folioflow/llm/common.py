@@ -97,10 +97,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges ``(u, v)`` of longs.
 
     Returns one row ``(node, root)`` per node that has an edge; nodes of one component
-    share a root, itself a node of it. Randomised contraction: in each round every node
-    moves to the neighbour (or itself) whose seeded hash is smallest, edges between
-    merged nodes go and the rest are rewritten, so the number of nodes falls by a constant
-    factor in expectation whatever the shape, chains and stars included. Every exchange
+    share a root, itself a node of it. Contraction: in each round every node
+    moves to the neighbour (or itself) of the lowest rank, edges between
+    merged nodes go and the rest are rewritten. In every second round, the first among them, ranks are the nodes'
+    numbers, which settles stars around their smallest node at once; in the others they are
+    seeded hashes, so that the number of nodes falls by a constant
+    factor in expectation whatever the shape, chains included. Every exchange
     carries partial minima, distinct pairs or a plain join that AQE may split, so a hub
     does not gather its neighbours in one task. Lineage is cut in every round.
     """
@@ -110,7 +112,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for i in range(max_rounds):
         if e.isEmpty():
             break
-        rank = lambda c, i=i: F.struct(F.xxhash64(F.lit(i), c).alias("h"), F.col(c).alias("n"))
+        rank = lambda c, i=i: F.struct((F.xxhash64(F.lit(i), c) if i % 2 else F.col(c)).alias("h"), F.col(c).alias("n"))
         moved = e.groupBy("u").agg(F.least(F.min(rank("v")), F.min(rank("u")))["n"].alias("to"))
         moved = written(moved, "moves")
         a, b = moved.select(F.col("u"), F.col("to").alias("a")), moved.select(F.col("u").alias("v"), F.col("to").alias("b"))
