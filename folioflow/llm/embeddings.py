@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from .common import components, dropped, written
 
 THRESHOLD, MISS, CHUNK, SURE = 0.98, 1e-4, 2048, 5.0
-#: Numbers of bits that a label may get, and what a class in a bucket costs in comparisons.
-BITS, PLACE = tuple(range(4, 41, 2)), 1024
+#: Numbers of bits that a label may get (``SPARE`` more than would leave one class to a bucket by chance, at most), and
+#: what a class in a bucket costs in comparisons.
+BITS, SPARE, PLACE = (4, 6, 8, 10, 12, 15, 18, 22, 27, 33, 40), 8, 1024
 
 
 @lru_cache(maxsize=64)
@@ -243,8 +244,10 @@ def layouts(classes: DataFrame, kind: str, threshold: float = THRESHOLD) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in each], pa.int32()), pa.array(got)], ["label", "dim", "signs"])
 
     signs = classes.select("label", "key").mapInArrow(prefixes, "label string, dim int, signs long")
+    most = classes.groupBy("label", F.length("key").alias("dim")).agg((F.log2(F.count(F.lit(1))) + SPARE).alias("most"))
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.col("signs").bitwiseAND(F.lit((1 << b) - 1)).alias("h")) for b in BITS])).alias("x")
-    sizes = signs.select("label", "dim", each).groupBy("label", "dim", "x.bits", "x.h").agg(F.count(F.lit(1)).alias("n"))
+    cut = signs.join(most, ["label", "dim"]).select("label", "dim", "most", each).where((F.col("x.bits") <= F.col("most")) | (F.col("x.bits") == BITS[0]))
+    sizes = cut.groupBy("label", "dim", "x.bits", "x.h").agg(F.count(F.lit(1)).alias("n"))
     tables = F.element_at(F.create_map(*[F.lit(x) for b in BITS for x in (b, tables_of(b, threshold))]), F.col("bits"))
     cost = sizes.groupBy("label", "dim", "bits").agg((F.sum(F.col("n") * F.col("n")) + PLACE * F.sum("n")).alias("c")).select("label", "dim", "bits", (F.col("c") * tables).alias("cost"))
     return cost.groupBy("label", "dim").agg(F.min(F.struct("cost", "bits"))["bits"].alias("bits"))
