@@ -88,8 +88,8 @@ def ask(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def ablation(spark: SparkSession, a: argparse.Namespace) -> None:
     records, _ = readers.vector_index(spark, a.index)
-    items = readers.json_or_empty(spark, a.qa, schemas.QA).withColumn("__at", F.monotonically_increasing_id())
-    picked = acquisition.drawn(items, "__at", a.limit, a.seed).select(F.col("draw").cast("long").alias("qid"), F.col("instruction").alias("question"), F.col("output").alias("reference"))
+    items = readers.json_or_empty(spark, a.qa, schemas.QA).withColumn("line", F.monotonically_increasing_id())
+    picked = acquisition.drawn(items, "line", a.limit, a.seed).select(F.col("draw").cast("long").alias("qid"), F.col("instruction").alias("question"), F.col("output").alias("reference"))
     asked = runs.routed(models.embedded(picked, "question", made(a.encoder, models.hashing_embedder), True), records)
     done = f"{a.out}/reports"
     if a.fresh:

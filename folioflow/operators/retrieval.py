@@ -21,7 +21,7 @@ def hits(ranked: DataFrame, records: DataFrame) -> DataFrame:
 
 
 class Arms:
-    """The ranked lists of both arms over one index, each computed and written once however many configurations use it."""
+    """The ranked lists of both arms over one index; those that several configurations use are computed and written once."""
 
     def __init__(self, records: DataFrame, queries: DataFrame, candidates: int = 20, scope: str | None = None):
         self.records, self.queries, self.candidates, self.scope = records, queries, candidates, scope
@@ -38,7 +38,7 @@ class Arms:
 
     def _once(self, arm: str, scoped: bool, made: Callable) -> DataFrame:
         if (arm, scoped) not in self._done:
-            self._done[arm, scoped] = written(made(self.scope if scoped else None), arm)
+            self._done[arm, scoped] = made(self.scope) if scoped else written(made(None), arm)
         return self._done[arm, scoped]
 
     def fused(self, k: int, scoped: bool = False, rrf_k: int = 60) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.lineage import written
 from folioflow.operators import evaluate, fusion, retrieval, routing, text_index, vector
 
 from .common import documents, table
@@ -174,6 +175,6 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def four_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All retrieval configurations over the same questions; the route of every second question is its number's last digit."""
     r, q = _hybrid_inputs(spark, sf_dir)
-    r = r.withColumn("scope", (F.col("rec_id") % 10).cast("string"))
+    r = written(r.withColumn("scope", (F.col("rec_id") % 10).cast("string")), "records")
     q = q.withColumn("scope", F.when(F.col("qid") % 2 == 0, (F.col("qid") % 10).cast("string")))
     return retrieval.retrieve_all(retrieval.CONFIGS, r, q)

@@ -77,7 +77,7 @@ def test_bm25_within_scopes(spark, records, questions, texts):
     r = records.withColumn("scope", F.col("company"))
     out = text_index.search(r, q, 5, "scope").collect()
     want = okapi(texts, "audit cost of c1")
-    best = sorted((k for k in range(1, 60, 4) if want[k] > 0), key=lambda k: (-round(want[k], 9), k))[:5]
+    best = sorted((k for k in range(1, 60, 4) if {"audit", "cost"} & set(texts[k].split())), key=lambda k: (-round(want[k], 9), k))[:5]
     assert [x.rec_id for x in sorted(out, key=lambda x: x["rank"]) if x.qid == 0] == best
     assert len({x.rec_id % 4 for x in out if x.qid == 1}) > 1
 
