@@ -52,7 +52,8 @@ def mixed(docs: DataFrame, split_last: bool = True, **options) -> DataFrame:
     (``split_last``), or is taken whole if more than half of it fits. The key is a hash of
     doc_id, so reruns agree. A null text has no words and nothing is taken of it; a null
     source is a source of its own (last in order); a null doc_id lies in its place by a
-    fixed key; repeated rows are documents of their own.
+    fixed key; equal keys lie by doc_id and size; repeated rows are documents of their own. Only the sizes of very long
+    texts leave the scan. Other columns are not read; an empty table gives no rows.
     """
     return _planned(sized(docs), split_last, **options).select("doc_id", "source", "size", "source_size", "target", "taken")
 

@@ -97,7 +97,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable over links, the document itself
     included. A null or empty text has fingerprint zero and links like any other; a null
     doc_id never becomes a component's id unless no member has one (then null). Repeated
-    rows give repeated results. Columns other than doc_id and text are not read.
+    rows give repeated results. Very long texts are taken one by one, their shingles in bounded blocks. Columns
+    other than doc_id and text are not read; an empty table gives no rows.
     """
     prints = written(fingerprints(docs), "fingerprints")
     firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")

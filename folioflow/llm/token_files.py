@@ -185,7 +185,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end: int
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with ``start``, the ids of all documents before each one.
 
-    One sum per file is broadcast to the rows: as many rows as there are files.
+    One sum per file is broadcast to the rows: as many rows as there are files, which the
+    session's number of shuffle partitions bounds.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
