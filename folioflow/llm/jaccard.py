@@ -6,10 +6,12 @@ the ``BANDS`` with probability (1 - LIKE ** DEEP) ** BANDS, below 1e-4. Every ca
 verified on the whole sets.
 
 A bucket of a few sets is compared pair by pair. In a larger one all are compared with
-``CENTRES`` of them first, drawn anew for each bucket; those that are then outside the
-bucket's largest component are compared with all members of other components. Links inside
-a component add nothing, so no candidate is left out and a large group of near copies
-costs about as many comparisons as it has members.
+``CENTRES`` of them first, drawn anew for each bucket. If it then holds several components,
+these are put together by the rarest shingles of their members: two sets at ``LIKE`` share one
+of the rarest fifth of their shingles, whatever else they hold, so members of different
+components are compared only where they do and where their sizes and the shingles behind it leave
+room for it. That is exact, and links inside a component add nothing. What is left to compare is
+members of a large group that are just not alike to others of it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, by_batch, components, written
+from .common import LOWER, by_batch, components, dropped, written
 
 WORDS, LIKE, BANDS, DEEP, FEW, CENTRES = 5, 0.8, 24, 5, 32, 8
 #: Words of a text that are taken up at a time.
@@ -120,10 +122,30 @@ def links(banded: DataFrame, texts: DataFrame, few: int = FEW, centres: int = CE
     if large.isEmpty():
         return found
     roots = components(found).select(F.col("node").alias("s"), "root")
-    held = written(large.join(roots, "s", "left").select("k", "s", F.coalesce("root", "s").alias("root")), "held")
-    parts = held.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("k").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = written(held.join(main, "k"), "open")
-    rest = open_.where("root <> main").select("k", F.col("s").alias("u"), F.col("root").alias("ru"))
-    across = rest.join(open_.select("k", F.col("s").alias("v"), F.col("root").alias("rv")), "k").where("ru <> rv").select("u", "v")
+    held = large.join(roots, "s", "left").select("k", "s", F.coalesce("root", "s").alias("root"))
+    parts = held.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    open_ = written(held.join(parts, "k", "left_semi").select("s", "root").distinct(), "open")
+    keys = written(_prefixes(sets.join(open_, "s")), "prefixes")
+    dropped(met, open_)
+    shared = keys.groupBy("c").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")  # else nothing is left to link there
+    some = keys.join(shared, "c", "left_semi")
+    a, b = (some.select("c", *[F.col(x).alias(f"{x}_{k}") for x in ("s", "root", "n", "at")]) for k in "ab")
+    # the first code that two alike sets have in common leaves enough codes behind it, and neither set is much larger
+    near = F.least("n_a", "n_b") >= LIKE * F.greatest("n_a", "n_b") - 1e-9
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= LIKE / (1 + LIKE) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    across = a.join(b, "c").where((F.col("root_a") < F.col("root_b")) & near & enough).select(F.col("s_a").alias("u"), F.col("s_b").alias("v"))
     return found.union(_verified(written(ordered(across), "across"), sets))
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """``s, root, n, at, c``: of each of ``sets (s, codes, root)`` its rarest codes (``at`` from 0 among its ``n``), as many as an alike set cannot lack altogether.
+
+    Two sets at ``LIKE`` have more than that share of the larger one's codes in common, so if all
+    sets are ordered alike, here by how many hold a code, their first codes meet.
+    """
+    codes = sets.select("s", "root", F.size("codes").alias("n"), F.explode("codes").alias("c"))
+    often = codes.groupBy("c").agg(F.count(F.lit(1)).alias("often"))
+    lists = codes.join(often, "c").groupBy("s", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "c"))).alias("o"))
+    first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.lit(LIKE) * F.col("n") - 1e-9) + 1).cast("int"))
+    # what no other set holds cannot meet
+    return lists.select("s", "root", "n", F.posexplode(first).alias("at", "x")).where("x.often > 1").select("s", "root", "n", "at", "x.c")
