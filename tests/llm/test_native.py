@@ -1,7 +1,8 @@
 """Sharding and mixing, the pipeline, and the registered queries."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from hashlib import md5
 
 import pytest
 
@@ -127,19 +128,56 @@ def test_native_operators_run_no_python(spark, sf_dir):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-def test_pipeline_runs_and_each_stage_decides(spark, sf_dir):
+def plain_mix(rows):
+    """How often each of ``rows (doc_id, text, source)`` is taken, whole documents only."""
+    size = {r.doc_id: len([w for w in (r.text or "").replace("\n", " ").replace("\t", " ").split(" ") if w]) for r in rows}
+    per = defaultdict(int)
+    for r in rows:
+        per[r.source] += size[r.doc_id]
+    target, out = poured(per), {}
+    for source in per:
+        at, n = 0, int(target[source] / per[source] + 1e-12) if per[source] else 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: (int(md5(f"mix {r.doc_id}".encode()).hexdigest()[:13], 16), r.doc_id)):
+            part = max(0, min(int(target[source]) - n * per[source] - at, size[r.doc_id]))
+            out[r.doc_id] = (n + (2 * part > size[r.doc_id])) * (size[r.doc_id] > 0)
+            at += size[r.doc_id]
+    return out
+
+
+def test_each_stage_of_the_pipeline_against_a_plain_version(spark, sf_dir):
     import corpus_pipeline as p
 
+    from . import test_pairs as pairs
+    from . import test_texts as texts
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.unionByName(spark.createDataFrame([(10**6, None, "en", "src1", 0), (10**6 + 1, "12 34", None, None, 0)], docs.schema))
-    sizes, columns = [docs.count()], docs.columns
+    columns, seen = docs.columns, [docs.collect()]
     for k, (name, stage) in enumerate(p.STAGES):
         docs = common.written(stage(spark, docs, sf_dir), name)
         assert (docs.columns == columns) == (k < len(p.STAGES) - 1)
-        sizes.append(docs.count())
-    assert sizes[1] == sizes[0] - 2 and sizes[3] < sizes[2] < sizes[1] and sizes[4] == sizes[5]
-    assert {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(docs.columns)
-    assert p.run(spark, sf_dir).count() == sizes[5]
+        seen.append(docs.collect())
+    ids = [[r.doc_id for r in rows] for rows in seen]
+    # language: here every document with letters is of a language
+    assert sorted(ids[1]) == sorted(r.doc_id for r in seen[0] if any(map(str.isalpha, r.text or "")))
+    # near copies: all pairs
+    rows = [(r.doc_id, r.text) for r in seen[1]]
+    prints = [(i, pairs.plain_fingerprint(t)) for i, t in rows]
+    near = pairs.alike(rows) + [(a, b) for k, (a, x) in enumerate(prints) for b, y in prints[:k] if bin(x ^ y).count("1") <= 2]
+    assert sorted(ids[2]) == sorted(set(pairs.closure([i for i, _ in rows], near).values()))
+    # benchmark: items but for two words at either end
+    words = lambda t: " ".join(w for x in t.lower().split() if (w := x.strip(".,;:!?*")))
+    items = [" ".join(words(r.text).split()[2:-2]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert sorted(ids[3]) == sorted(r.doc_id for r in seen[2] if not any(x in words(r.text) for x in items)) and len(ids[3]) < len(ids[2])
+    assert Counter(ids[4]) == Counter({i: n for i, n in plain_mix(seen[3]).items() if n})
+    lib, at = texts.token_files.encoder(texts.token_files.TOKENIZER), 0
+    text = {r.doc_id: r.text for r in seen[3]}
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in seen[5])
+    for (i, start, n, crc), want in zip(got, sorted(ids[4])):
+        each = [*lib.library(text[want]).tolist(), 2]
+        assert (i, start, n, crc) == (want, at, len(each), texts.zlib.crc32(texts.np.array(each, "<u4").tobytes()))
+        at += n
+    assert len(got) == len(ids[4]) and sorted(map(tuple, p.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_crc32").collect())) == sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in seen[5])
 
 
 def test_stages_keep_columns_of_any_name(spark):
