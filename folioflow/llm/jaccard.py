@@ -6,7 +6,9 @@ the ``BANDS`` with probability (1 - LIKE ** DEEP) ** BANDS, below 1e-4. Every ca
 verified on the whole sets.
 
 A bucket of a few sets is compared pair by pair. In a larger one all are compared with
-``CENTRES`` of them first, drawn anew for each bucket. If it then holds several components,
+``FIRST`` of them, drawn anew for each bucket. If it then holds several components, members
+outside the one that has most of it are compared with more of that one, up to ``CENTRES`` in all.
+Between these steps a component is held as a star, not by all its links. If a bucket still holds several components,
 these are put together by the rarest shingles of their members: two sets at ``LIKE`` share one
 of the rarest fifth of their shingles, whatever else they hold, so members of different
 components are compared only where they do and where their sizes and the shingles behind it leave
@@ -17,6 +19,7 @@ members of a large group that are just not alike to others of it.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from xxhash import xxh64_intdigest
 
 from .common import LOWER, by_batch, components, dropped, written
 
-WORDS, LIKE, BANDS, DEEP, FEW, CENTRES = 5, 0.8, 24, 5, 32, 8
+WORDS, LIKE, BANDS, DEEP, FEW, FIRST, CENTRES = 5, 0.8, 24, 5, 32, 1, 8
 #: Words of a text that are taken up at a time.
 BLOCK = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
@@ -115,37 +118,41 @@ def links(banded: DataFrame, texts: DataFrame, few: int = FEW, centres: int = CE
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     small, large = met.where(F.col("n") <= few).select("k", "s"), met.where(F.col("n") > few).select("k", "s")
     pairs = small.withColumnRenamed("s", "u").join(small.withColumnRenamed("s", "v"), "k").where("u < v").select("u", "v")
-    draws = [F.min(F.struct(F.xxhash64(F.lit(i), "k", "s").alias("h"), F.col("s")))["s"] for i in range(centres)]
-    drawn = large.groupBy("k").agg(F.array_distinct(F.array(*draws)).alias("c")).select("k", F.explode("c").alias("u"))
-    stars = large.withColumnRenamed("s", "v").join(drawn, "k").where("u <> v").select("u", "v")
-    found = written(_verified(written(ordered(pairs.union(stars)), "pairs"), sets), "alike")
     if large.isEmpty():
-        return found
-    roots = components(found).select(F.col("node").alias("s"), "root")
-    held = large.join(roots, "s", "left").select("k", "s", F.coalesce("root", "s").alias("root"))
-    parts = held.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    open_ = written(held.join(parts, "k", "left_semi").select("s", "root").distinct(), "open")
+        return written(_verified(written(ordered(pairs), "pairs"), sets), "alike")
+    tree, held = None, large.select("k", "s", F.col("s").alias("root"), F.lit(True).alias("main"))
+    for at, end in pairwise(sorted({0, min(FIRST, centres), centres})):
+        draws = [F.min(F.struct(F.xxhash64(F.lit(i), "k", "s").alias("h"), "s", "root")) for i in range(at, end)]
+        drawn = held.where("main").groupBy("k").agg(F.array_distinct(F.array(*draws)).alias("c")).select("k", F.explode("c").alias("c")).select("k", F.col("c.s").alias("u"), F.col("c.root").alias("to"))
+        stars = held.withColumnRenamed("s", "v").join(drawn, "k").where("root <> to").select("u", "v")
+        found = _verified(written(ordered(stars if tree is not None else stars.union(pairs)), "pairs"), sets)
+        roots = components(written(tree.union(found) if tree is not None else found, "alike"))
+        tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")  # a row for each node says as much as all links
+        rooted = held.select("k", "s").join(roots.withColumnRenamed("node", "s"), "s", "left").select("k", "s", F.coalesce("root", "s").alias("root"))
+        parts = rooted.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("parts"))
+        held = written(rooted.join(parts.where("parts > 1"), "k").select("k", "s", "root", (F.col("root") == F.col("most")).alias("main")), "held")
+    open_ = written(held.select("s", "root").distinct(), "open")
     keys = written(_prefixes(sets.join(open_, "s")), "prefixes")
-    dropped(met, open_)
-    shared = keys.groupBy("c").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")  # else nothing is left to link there
-    some = keys.join(shared, "c", "left_semi")
-    a, b = (some.select("c", *[F.col(x).alias(f"{x}_{k}") for x in ("s", "root", "n", "at")]) for k in "ab")
+    dropped(met, held, open_)
+    a, b = (keys.select("c", *[F.col(x).alias(f"{x}_{k}") for x in ("s", "root", "n", "at")]) for k in "ab")
     # the first code that two alike sets have in common leaves enough codes behind it, and neither set is much larger
     near = F.least("n_a", "n_b") >= LIKE * F.greatest("n_a", "n_b") - 1e-9
     enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= LIKE / (1 + LIKE) * (F.col("n_a") + F.col("n_b")) - 1e-9
     across = a.join(b, "c").where((F.col("root_a") < F.col("root_b")) & near & enough).select(F.col("s_a").alias("u"), F.col("s_b").alias("v"))
-    return found.union(_verified(written(ordered(across), "across"), sets))
+    return tree.union(_verified(written(ordered(across), "across"), sets))
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
     """``s, root, n, at, c``: of each of ``sets (s, codes, root)`` its rarest codes (``at`` from 0 among its ``n``), as many as an alike set cannot lack altogether.
 
     Two sets at ``LIKE`` have more than that share of the larger one's codes in common, so if all
-    sets are ordered alike, here by how many hold a code, their first codes meet.
+    sets are ordered alike their first codes meet. First here are codes that only one component
+    holds, which are counted and not given, as nothing is left to link there; the others follow
+    by how many hold them.
     """
     codes = sets.select("s", "root", F.size("codes").alias("n"), F.explode("codes").alias("c"))
-    often = codes.groupBy("c").agg(F.count(F.lit(1)).alias("often"))
+    often = codes.groupBy("c").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("c", "often")
     lists = codes.join(often, "c").groupBy("s", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "c"))).alias("o"))
-    first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.lit(LIKE) * F.col("n") - 1e-9) + 1).cast("int"))
-    # what no other set holds cannot meet
-    return lists.select("s", "root", "n", F.posexplode(first).alias("at", "x")).where("x.often > 1").select("s", "root", "n", "at", "x.c")
+    before = F.col("n") - F.size("o")
+    first = F.slice("o", F.lit(1), F.greatest(F.col("n") - F.ceil(F.lit(LIKE) * F.col("n") - 1e-9) + 1 - before, F.lit(0)).cast("int"))
+    return lists.select("s", "root", "n", before.alias("before"), F.posexplode(first).alias("at", "x")).select("s", "root", "n", (F.col("before") + F.col("at")).alias("at"), "x.c")

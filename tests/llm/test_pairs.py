@@ -225,6 +225,47 @@ def test_near_copies_beyond_two_bits_go(spark, few, centres):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_a_large_group_costs_a_few_rows_for_each_member(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = list(enumerate(edited(rng, 400, 3)))
+    near = alike(texts)
+    want = closure([i for i, _ in texts], near)
+    rows = [(i, jaccard.set_key(c), c) for i, t in texts for c in [jaccard.shingles(t)]]
+    of = {s: i for i, s, _ in rows}
+    banded = spark.createDataFrame([(s, i, jaccard.bands(c)) for i, s, c in rows], "s long, row long, bands array<long>")
+    compared, joined, verified, closed = [], [], jaccard._verified, jaccard.components
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets: (compared.append(pairs.count()), verified(pairs, sets))[1])
+    monkeypatch.setattr(jaccard, "components", lambda edges: (joined.append(edges.count()), closed(edges))[1])
+    got = jaccard.links(banded, spark.createDataFrame(texts, "row long, text string")).collect()
+    assert closure(want, [(of[r.u], of[r.v]) for r in got]) == want
+    assert len(near) > 50 * len(rows) and len(got) < len(rows)
+    # its members meet in every band at most once with the first centre, and pairwise in small buckets only
+    assert sum(compared) < 60 * len(rows) and sum(joined) < 60 * len(rows)
+
+
+def test_alike_sets_of_different_components_meet_in_their_first_codes(spark):
+    rng = random.Random(17)
+    sets = []
+    for i in range(120):
+        base = sets[rng.randrange(i)][1] if i % 4 else rng.sample(range(300), 40)
+        sets.append((i, sorted({rng.randrange(300) if rng.random() < 0.04 else c for c in base}), rng.randrange(6)))
+    found = {}
+    for r in jaccard._prefixes(spark.createDataFrame(sets, "s long, codes array<long>, root long")).collect():
+        assert r.n == len(sets[r.s][1]) and r.root == sets[r.s][2] and 0 <= r.at < r.n
+        found.setdefault(r.s, {})[r.c] = r.at
+    only = [c for c in range(300) if len({root for _, codes, root in sets if c in codes}) == 1]
+    assert only and not any(c in x for c in only for x in found.values())
+    met = 0
+    for i, a, root in sets:
+        for j, b, other in sets[:i]:
+            shared = len(set(a) & set(b))
+            if root != other and shared >= 0.8 * len(set(a) | set(b)):
+                common = set(found.get(i, {})) & set(found.get(j, {}))
+                assert any(min(len(a) - found[i][c], len(b) - found[j][c]) >= shared for c in common)
+                met += 1
+    assert met > 20
+
+
 def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     rows = [(None, a, ""), (None, a, ""), (None, b, ""), (1, b, ""), (2, b, ""), (2, c, ""), (2, c, ""), (2, d, "")]
