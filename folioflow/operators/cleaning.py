@@ -59,12 +59,17 @@ def document_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def without_contents(text: F.Column, sentence_marks: str = "。！？") -> F.Column:
+def lines_without_contents(text: F.Column, sentence_marks: str = "。！？", entry: str = X.ENTRY) -> F.Column:
+    """A text's lines without its contents lines; there may be none left, which the joined text does not tell from one empty line."""
+    return F.filter(F.split(text, "\n"), lambda x: ~X.is_contents_line(x, sentence_marks, entry))
+
+
+def without_contents(text: F.Column, sentence_marks: str = "。！？", entry: str = X.ENTRY) -> F.Column:
     """A text without its contents lines."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~X.is_contents_line(x, sentence_marks)), "\n")
+    return F.array_join(lines_without_contents(text, sentence_marks, entry), "\n")
 
 
-def clean_pages(pages: DataFrame) -> DataFrame:
+def clean_pages(pages: DataFrame, entry: str = X.ENTRY) -> DataFrame:
     """``doc_id, text``: the whole chain from pages to clean text."""
     body = without_running_lines(page_lines(pages))
     flat = body.select("doc_id", "page_no", F.posexplode("lines").alias("k", "line"))
@@ -73,4 +78,4 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     whole = paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_no", "text"))).alias("p"))
     text = F.array_join(F.transform("p", lambda p: p["text"]), "\n")
     every = pages.select("doc_id").distinct().join(whole, "doc_id", "left")
-    return every.select("doc_id", without_contents(F.coalesce(text, F.lit(""))).alias("text"))
+    return every.select("doc_id", without_contents(F.coalesce(text, F.lit("")), entry=entry).alias("text"))
