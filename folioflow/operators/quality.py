@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +58,17 @@ def chunk_errors(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.count_if(missing).alias("errors"), F.count_if("is_table").alias("n_tables"), F.count_distinct("source").alias("n_sources"))
 
 
-def trace_report(df: DataFrame, text: str = "text", pattern: str | None = None, wide: str = X.WIDE_TRACE) -> DataFrame:
+def trace_report(df: DataFrame, text: str = "text", pattern: str | None = None, wide: str = X.WIDE_TRACE, bare: Callable[[Column], Column] = X.strip) -> DataFrame:
     """``n, before, changed, after``: rows that show traces before and after cleaning, in one pass."""
-    new = X.without_traces(F.col(text), pattern)
+    new = X.without_traces(F.col(text), pattern, bare)
     return df.select(F.col(text).alias("old"), new.alias("new")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("old").rlike(wide)).alias("before"), F.count_if(F.col("old") != F.col("new")).alias("changed"), F.count_if(F.col("new").rlike(wide)).alias("after")
     )
 
 
-def trace_examples(df: DataFrame, order: str, text: str = "text", pattern: str | None = None, n: int = 6) -> DataFrame:
+def trace_examples(df: DataFrame, order: str, text: str = "text", pattern: str | None = None, n: int = 6, bare: Callable[[Column], Column] = X.strip) -> DataFrame:
     """The first n rows that cleaning changes, before and after."""
-    new = X.without_traces(F.col(text), pattern)
+    new = X.without_traces(F.col(text), pattern, bare)
     return df.select(order, F.col(text).alias("old"), new.alias("new")).where("old <> new").orderBy(order).limit(n)
 
 

@@ -31,3 +31,11 @@ def texts(values: list) -> pa.Table:
 def test_contents_lines_as_in_sql(against):
     got, want = against("toc_filter", documents=texts(LINES))
     assert got == want and (0, 0, "d41d8cd98f00b204e9800998ecf8427e") in got
+
+
+def test_traces_as_in_sql(against):
+    said = ["the\rx in", "the\u2028 and", "thexiné", "the iñ and", "éthe x", "the\x0b x", "the\u00a0", "the \u3000\u3000", "the x\x0b", "the  a", "thez", "of the\nin", "of the, : of", "the\u0085in", "_the in_", "", None]
+    for name in ("trace_clean", "trace_examples"):
+        for part in (said, *[said[k : k + 1] for k in range(len(said))]) if name == "trace_clean" else (said, said[5:]):
+            got, want = against(name, documents=texts(part))
+            assert got == want, part
