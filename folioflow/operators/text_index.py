@@ -18,8 +18,8 @@ from folioflow.lineage import written
 from . import topk
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query tokens that go to the executors at once, and scores that a task holds at a time.
-BLOCK_TOKENS, BLOCK_SCORES = 1_000_000, 4_000_000
+#: Query tokens that go to the executors at once, and scores, or products of a record's token and a query, that a task holds at a time.
+BLOCK_TOKENS, BLOCK_SCORES = 1_000_000, 1 << 20
 
 
 @dataclass
@@ -81,47 +81,69 @@ def search(records: DataFrame | TextIndex, queries: DataFrame, candidates: int =
 def _scan(tokens: DataFrame, rows: list, idf: dict[str, float], scopes: list | None, k: int, avgdl: float, k1: float, b: float, digits: int) -> DataFrame:
     names = sorted(idf)
     at = {t: i for i, t in enumerate(names)}
-    asked = [{at[t]: n for t, n in Counter(r.asked).items() if t in at} for r in rows]
-    held = tokens.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), names, idf, asked, scopes if scopes is None else np.array(scopes, object)))
+    entries = sorted((at[t], j, n) for j, r in enumerate(rows) for t, n in Counter(r.asked).items() if t in at)
+    which, query, times = (np.array(x, np.int64) for x in zip(*entries, strict=True)) if entries else (np.empty(0, np.int64),) * 3
+    weight = times * np.array([idf[t] for t in names])[which] if entries else np.empty(0)
+    first = np.searchsorted(which, np.arange(len(names) + 1))
+    held = tokens.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), names, first, query, weight, topk.grouped(scopes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, names, idf, asked, scopes = held.value
-        times = np.zeros((len(names), len(qids)))
-        for j, own in enumerate(asked):
-            times[list(own), j] = list(own.values())
-        weight = times * np.array([idf[t] for t in names])[:, None]
-        positive = bool((weight[times > 0] > 0).all())
-        known, best = pa.array(names, pa.string()), topk.Best(qids, k)
+        qids, names, first, query, weight, asked = held.value
+        positive, asks = bool((weight > 0).all()), np.diff(first)
+        known, best = pa.array(names, pa.string()), topk.Best(qids, k, digits)
         for whole in batches:
-            for batch in _bounded(whole, len(qids)):
-                lists = batch.column(1)
-                dl = np.diff(lists.offsets.to_numpy())
-                code = pc.index_in(lists.flatten(), known).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(dl)), dl)[~np.isnan(code)] if len(code) else np.empty(0, np.int64)
-                pair, tf = np.unique(row * len(names) + code[~np.isnan(code)].astype(np.int64), return_counts=True)
-                row, code = pair // len(names), pair % len(names)
+            for batch in _bounded(whole):
+                dl, row, code, tf = _counted(batch.column(1), known)
                 value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
-                starts = np.flatnonzero(np.diff(row, prepend=-1))
-                some = row[starts]
-
-                def score(r, j) -> np.ndarray:
-                    out = np.full((len(dl), len(qids)), -np.inf) if isinstance(j, slice) else np.full((len(dl), len(j)), -np.inf)
-                    if len(row):
-                        sums = np.round(np.add.reduceat(value[:, None] * weight[code][:, j], starts, axis=0), digits)
-                        share = sums > 0 if positive else np.add.reduceat(times[code][:, j], starts, axis=0) > 0
-                        out[some] = np.where(share, sums, -np.inf)
-                    return out[r]
-
-                own = None if scopes is None else np.array(batch.column(2).to_pylist(), object)
-                best.add(batch.column(0).to_numpy(), topk.scored(own, scopes, len(dl), len(qids), score))
+                at = np.searchsorted(row, np.arange(len(dl) + 1))
+                products = np.append(0, np.cumsum(asks[code]))[at]  # of all records before
+                ids = batch.column(0).to_numpy()
+                own = None if asked is None else batch.column(2)
+                for r0, r1 in _records(products, len(qids)):
+                    part = slice(at[r0], at[r1])
+                    n = asks[code[part]]
+                    pair = np.repeat(np.arange(part.start, part.stop), n)
+                    entry = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + first[code[pair]]
+                    cell, size = (row[pair] - r0) * len(qids) + query[entry], (r1 - r0) * len(qids)
+                    sums = np.bincount(cell, value[pair] * weight[entry], size)
+                    hit = sums > 0 if positive else np.bincount(cell, minlength=size) > 0
+                    scores = np.where(hit, sums, -np.inf).reshape(r1 - r0, len(qids))
+                    if asked is None:
+                        best.add(ids[r0:r1], scores)
+                    else:
+                        for r, j in topk.meetings(own[r0:r1], asked, r1 - r0, len(qids)):
+                            best.add(ids[r0:r1][r], scores[np.ix_(r, j)], j)
         yield best.batch("score")
 
     return tokens.mapInArrow(run, "qid long, rec_id long, score double")
 
 
-def _bounded(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
-    """Slices of as many records as have ``BLOCK_SCORES`` products of tokens and queries, at least one."""
-    ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()) + 1) * queries
+def _counted(lists: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens each record has, and for known tokens: record, number and how often, in that order."""
+    dl = np.diff(lists.offsets.to_numpy())
+    code = pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
+    key = np.repeat(np.arange(len(dl)) * len(known), dl)[code >= 0] + code[code >= 0]
+    if len(dl) * len(known) <= 16 * len(key):
+        counts = np.bincount(key, minlength=len(dl) * len(known))
+        key = np.flatnonzero(counts)
+        tf = counts[key]
+    else:
+        key, tf = np.unique(key, return_counts=True)
+    return dl, key // max(1, len(known)), key % max(1, len(known)), tf
+
+
+def _records(products: np.ndarray, queries: int) -> Iterator[tuple[int, int]]:
+    """Ranges of records with as many products and pairs as ``BLOCK_SCORES``, at least one; ``products`` counts those before."""
+    load, at = products + np.arange(len(products)) * queries, 0
+    while at < len(products) - 1:
+        end = max(at + 1, int(np.searchsorted(load, load[at] + BLOCK_SCORES, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of as many records as have ``BLOCK_SCORES`` tokens, at least one."""
+    ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_SCORES, "right")))

@@ -35,7 +35,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 6, scope: str | None
     ``digits`` digits) are ranked by rec_id. A null vector, one with null components, or of another length than the
     first is no hit; queries without a vector find nothing, and queries of another length are an error. The
     queries are counted first and taken in blocks of bounded size; every task keeps the k best per query as it
-    goes, so k rows per query and task meet in the final window.
+    goes and computes ``topk.PAIRS`` similarities at a time, so its memory grows with k times the queries of a block
+    and not with the vectors; k rows per query and task meet in the final window.
     """
     text = [F.col(scope).cast("string").alias("scope")] if scope else []
     q = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding"), *text)
@@ -55,19 +56,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 6, scope: str | None
 
 
 def _scan(v: DataFrame, rows: list, scopes: list | None, k: int, digits: int) -> DataFrame:
-    held = v.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.embedding for r in rows]), scopes if scopes is None else np.array(scopes, object)))
+    held = v.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.embedding for r in rows]), topk.grouped(scopes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix, asked = held.value
-        best = topk.Best(qids, k)
+        best = topk.Best(qids, k, digits)
+        finite = bool(np.isfinite(matrix).all())
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                m = _matrix(batch.column(1), matrix.shape[1])
-                own = None if asked is None else np.array(batch.column(2).to_pylist(), object)
-                sims = topk.scored(own, asked, len(m), len(qids), lambda r, q, m=m: np.round(m[r] @ matrix[q].T, digits))
-                sims[np.isnan(sims)] = -np.inf
-                best.add(batch.column(0).to_numpy(), sims)
+                m, ids = _matrix(batch.column(1), matrix.shape[1]), batch.column(0).to_numpy()
+                odd = not (finite and np.isfinite(m).all())
+                for r, j in topk.meetings(None if asked is None else batch.column(2), asked, len(m), len(qids)):
+                    sims = m[r] @ matrix[j].T
+                    if odd:
+                        sims[np.isnan(sims)] = -np.inf
+                    best.add(ids[r], sims, j)
         yield best.batch("sim")
 
     return v.mapInArrow(run, "qid long, rec_id long, sim double")

@@ -2,9 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +97,45 @@ def test_best_keeps_the_first_of_ties():
         assert best.ids[j].tolist() == want
 
 
+def test_best_rounds_and_takes_some_queries():
+    rng = np.random.default_rng(6)
+    scores = np.round(rng.standard_normal((900, 4)), 2) + rng.uniform(-4e-4, 4e-4, (900, 4))
+    best, ids = topk.Best(np.arange(6), 3, 2), rng.permutation(900)
+    for at in range(0, 900, 300):
+        best.add(ids[at : at + 300], scores[at : at + 300], np.array([5, 0, 3, 2]))
+    for j, q in enumerate([5, 0, 3, 2]):
+        assert best.ids[q].tolist() == [ids[k] for k in sorted(range(900), key=lambda k: (-np.round(scores[k, j], 2), ids[k]))[:3]]
+    assert np.isneginf(best.scores[[1, 4]]).all()
+
+
+def test_meetings_are_bounded_and_whole():
+    own, scopes = pa.array(["a", None, "b", "c", "a"] * 30), ["a", None, "b", "x", None, "a", "a"]
+    for most in (1, 7, 1000):
+        got = [(i, j) for r, q in topk.meetings(own, topk.grouped(scopes), 150, 7, most) if len(r) * len(q) <= most for i in r for j in q]
+        assert sorted(got) == [(i, j) for i, o in enumerate(own.to_pylist()) for j, s in enumerate(scopes) if s is None or s == o]
+    assert len([0 for r, q in topk.meetings(None, None, 50, 40, 9) for _ in r for _ in q]) == 2000
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_vector_scan_holds_few_similarities(scoped):
+    class Frame:
+        class sparkSession:  # noqa: N801
+            class sparkContext:  # noqa: N801
+                broadcast = staticmethod(lambda v: SimpleNamespace(value=v))
+
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    rng = np.random.default_rng(3)
+    rows = [SimpleNamespace(qid=j, embedding=x, scope=str(j % 2)) for j, x in enumerate(rng.standard_normal((6000, 4)))]
+    run = vector._scan(Frame, rows, [r.scope for r in rows] if scoped else None, 2, 9)
+    batch = pa.RecordBatch.from_pydict({"rec_id": np.arange(4096), "embedding": list(rng.standard_normal((4096, 4))), "scope": [str(k % 2) for k in range(4096)]})
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) == 12000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all similarities at once are 197 MB
+
+
 def test_fusion_is_symmetric_and_breaks_ties(spark):
     a = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "qid long, rec_id long, rank int")
     b = spark.createDataFrame([(0, 2, 1, 3.0), (0, 3, 2, 1.0), (0, 4, 3, 0.0)], "qid long, rec_id long, rank int, score double")
