@@ -21,19 +21,29 @@ def hits(ranked: DataFrame, records: DataFrame) -> DataFrame:
 
 
 class Arms:
-    """The ranked lists of both arms over one index; those that several configurations use are computed and written once."""
+    """The ranked lists of both arms over one index; those that several configurations use are computed and written once.
 
-    def __init__(self, records: DataFrame, queries: DataFrame, candidates: int = 20, scope: str | None = None):
+    The vectors may come from a table of their own (``rec_id, embedding`` and the scope); with ``both``, the words are
+    sought in all records and in the scopes at one go.
+    """
+
+    def __init__(self, records: DataFrame, queries: DataFrame, candidates: int = 20, scope: str | None = None, vectors: DataFrame | None = None, both: bool = False):
         self.records, self.queries, self.candidates, self.scope = records, queries, candidates, scope
+        self.vectors, self.both = records if vectors is None else vectors, both and scope is not None
         self._index: text_index.TextIndex | None = None
-        self._done: dict[tuple[str, bool], DataFrame] = {}
+        self._done: dict[tuple, DataFrame] = {}
+        self._texts: tuple[set, DataFrame | None] = set(), None
 
     def vector(self, scoped: bool = False) -> DataFrame:
-        return self._once("vector", scoped, lambda scope: vector.search(self.records, self.queries, self.candidates, scope))
+        return self._once("vector", scoped, lambda scope: vector.search(self.vectors, self.queries, self.candidates, scope))
 
     def words(self, scoped: bool = False) -> DataFrame:
         if self._index is None:
             self._index = text_index.indexed(self.records, scope=self.scope)
+        if self.both:
+            if ("words",) not in self._done:
+                self._done["words",] = written(text_index.search(self._index, self.queries, self.candidates, self.scope, both=True), "words")
+            return self._done["words",].where(F.col("scoped") == scoped).drop("scoped")
         return self._once("words", scoped, lambda scope: text_index.search(self._index, self.queries, self.candidates, scope))
 
     def _once(self, arm: str, scoped: bool, made: Callable) -> DataFrame:
@@ -41,6 +51,23 @@ class Arms:
             self._done[arm, scoped] = made(self.scope) if scoped else written(made(None), arm)
         return self._done[arm, scoped]
 
+    def best(self, k: int, scoped: bool = False) -> DataFrame:
+        """The fused list, written."""
+        if ("best", k, scoped) not in self._done:
+            self._done["best", k, scoped] = written(self.fused(k, scoped).select("qid", "rec_id", "rank"), "fused")
+        return self._done["best", k, scoped]
+
+    def texts(self, k: int, *scoped: bool) -> DataFrame:
+        """``rec_id, text`` of the records in these fused lists: one reading of all texts, the lists' size decides how they meet."""
+        lists = {(k, s) for s in scoped}
+        if not lists <= self._texts[0]:
+            ids = None
+            for s in scoped:
+                part = self.best(k, s).select("rec_id")
+                ids = part if ids is None else ids.union(part)
+            self._texts = lists, written(self.records.select("rec_id", "text").join(written(ids.distinct(), "found"), "rec_id", "left_semi"), "texts")
+        return self._texts[1]
+
     def fused(self, k: int, scoped: bool = False, rrf_k: int = 60) -> DataFrame:
         return fusion.fuse(self.vector(scoped), self.words(scoped), k, rrf_k)
 
@@ -84,14 +111,17 @@ def retrieve(cfg: str, records: DataFrame, queries: DataFrame, k: int = 6, candi
     elif cfg == "hybrid":
         out = arms.fused(k)
     else:
-        out = rerank(arms.fused(candidates, cfg == "hr_route"), records, queries, k, factory)
+        scoped = cfg == "hr_route"
+        out = rerank(arms.best(candidates, scoped), arms.texts(candidates, scoped), queries, k, factory)
     return out.select(F.lit(cfg).alias("cfg"), "qid", "rec_id", "rank")
 
 
-def retrieve_all(configs, records: DataFrame, queries: DataFrame, k: int = 6, candidates: int = 20, scope: str = "scope", factory: Callable | None = None) -> DataFrame:
+def retrieve_all(configs, records: DataFrame, queries: DataFrame, k: int = 6, candidates: int = 20, scope: str = "scope", factory: Callable | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The configurations side by side; what they share is computed once."""
     configs = list(configs)
-    arms = Arms(records, queries, max(k, candidates), scope if "hr_route" in configs else None)
+    arms = Arms(records, queries, max(k, candidates), scope if "hr_route" in configs else None, vectors, bool({"hybrid", "hr"} & set(configs)))
+    if lists := [cfg == "hr_route" for cfg in configs if cfg in ("hr", "hr_route")]:
+        arms.texts(candidates, *lists)
     out = None
     for cfg in configs:
         part = retrieve(cfg, records, queries, k, candidates, scope, factory, arms)

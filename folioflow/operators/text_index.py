@@ -53,18 +53,19 @@ def indexed(records: DataFrame, analyzer=X.tokens, scope: str | None = None) ->
     return TextIndex(t, n, avgdl or 1.0, weights(df, n))
 
 
-def search(records: DataFrame | TextIndex, queries: DataFrame, candidates: int = 20, scope: str | None = None, analyzer=X.tokens, k1: float = K1, b: float = B, digits: int = 9, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def search(records: DataFrame | TextIndex, queries: DataFrame, candidates: int = 20, scope: str | None = None, analyzer=X.tokens, k1: float = K1, b: float = B, digits: int = 9, block_tokens: int = BLOCK_TOKENS, both: bool = False) -> DataFrame:
     """``qid, rec_id, score, rank`` of the best records that share a token with the query; ties (to ``digits`` digits) by rec_id.
 
     A query's tokens count with their multiplicity. With ``scope``, a column of both sides, a query that has a value
     there sees only the records that share it, scored with the statistics of the whole corpus. The score of a record is
     summed over its own tokens alone and within its row, so no posting is shuffled; each task keeps the
-    best per query as it goes.
+    best per query as it goes. With ``both``, the queries are held against all records as well, in the same pass;
+    ``scoped`` then tells the two lists apart.
     """
     index = records if isinstance(records, TextIndex) else indexed(records, analyzer, scope)
     more = [F.col(scope).cast("string").alias("scope")] if scope else []
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.coalesce(analyzer(F.col("question")), F.array().cast("array<string>")).alias("asked"), *more)
-    found = index.tokens.selectExpr("rec_id as qid", "rec_id", "0d as score").where("false")
+    found = index.tokens.selectExpr("rec_id as qid", "rec_id", "0d as score", "false as scoped").where("false")
     total = q.agg(F.sum(F.size("asked"))).first()[0] or 0
     for rows in topk.blocks(q, total // block_tokens + 1):
         spark = q.sparkSession
@@ -73,24 +74,25 @@ def search(records: DataFrame | TextIndex, queries: DataFrame, candidates: int =
             known = spark.createDataFrame(pa.table({"token": tokens}))
             idf = {r.token: r.idf for r in index.idf.join(F.broadcast(known), "token").collect()}
             scopes = [r.scope for r in rows] if scope else None
-            part = topk.within(index.tokens if scope else index.tokens.select("rec_id", "tokens"), scopes)
-            found = found.unionByName(_scan(part, rows, idf, scopes, candidates, index.avgdl, k1, b, digits))
-    return topk.ranked(found, "score", candidates)
+            part = topk.within(index.tokens if scope else index.tokens.select("rec_id", "tokens"), None if both else scopes)
+            ways = [None, scopes] if both and scope else [scopes]
+            found = found.unionByName(_scan(part, rows, idf, ways, candidates, index.avgdl, k1, b, digits))
+    return topk.ranked(found, "score", candidates, "scoped") if both else topk.ranked(found.drop("scoped"), "score", candidates)
 
 
-def _scan(tokens: DataFrame, rows: list, idf: dict[str, float], scopes: list | None, k: int, avgdl: float, k1: float, b: float, digits: int) -> DataFrame:
+def _scan(tokens: DataFrame, rows: list, idf: dict[str, float], ways: list[list | None], k: int, avgdl: float, k1: float, b: float, digits: int) -> DataFrame:
     names = sorted(idf)
     at = {t: i for i, t in enumerate(names)}
     entries = sorted((at[t], j, n) for j, r in enumerate(rows) for t, n in Counter(r.asked).items() if t in at)
     which, query, times = (np.array(x, np.int64) for x in zip(*entries, strict=True)) if entries else (np.empty(0, np.int64),) * 3
     weight = times * np.array([idf[t] for t in names])[which] if entries else np.empty(0)
     first = np.searchsorted(which, np.arange(len(names) + 1))
-    held = tokens.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), names, first, query, weight, topk.grouped(scopes)))
+    held = tokens.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), names, first, query, weight, [topk.grouped(scopes) for scopes in ways]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, names, first, query, weight, asked = held.value
+        qids, names, first, query, weight, ways = held.value
         positive, asks = bool((weight > 0).all()), np.diff(first)
-        known, best = pa.array(names, pa.string()), topk.Best(qids, k, digits)
+        known, bests = pa.array(names, pa.string()), [topk.Best(qids, k, digits) for _ in ways]
         for whole in batches:
             for batch in _bounded(whole):
                 dl, row, code, tf = _counted(batch.column(1), known)
@@ -98,7 +100,7 @@ def _scan(tokens: DataFrame, rows: list, idf: dict[str, float], scopes: list | N
                 at = np.searchsorted(row, np.arange(len(dl) + 1))
                 products = np.append(0, np.cumsum(asks[code]))[at]  # of all records before
                 ids = batch.column(0).to_numpy()
-                own = None if asked is None else batch.column(2)
+                own = batch.column(2) if batch.num_columns > 2 else None
                 for r0, r1 in _records(products, len(qids)):
                     part = slice(at[r0], at[r1])
                     n = asks[code[part]]
@@ -108,14 +110,17 @@ def _scan(tokens: DataFrame, rows: list, idf: dict[str, float], scopes: list | N
                     sums = np.bincount(cell, value[pair] * weight[entry], size)
                     hit = sums > 0 if positive else np.bincount(cell, minlength=size) > 0
                     scores = np.where(hit, sums, -np.inf).reshape(r1 - r0, len(qids))
-                    if asked is None:
-                        best.add(ids[r0:r1], scores)
-                    else:
-                        for r, j in topk.meetings(own[r0:r1], asked, r1 - r0, len(qids)):
-                            best.add(ids[r0:r1][r], scores[np.ix_(r, j)], j)
-        yield best.batch("score")
-
-    return tokens.mapInArrow(run, "qid long, rec_id long, score double")
+                    for best, asked in zip(bests, ways, strict=True):
+                        if asked is None:
+                            best.add(ids[r0:r1], scores)
+                        else:
+                            for r, j in topk.meetings(own[r0:r1], asked, r1 - r0, len(qids)):
+                                best.add(ids[r0:r1][r], scores[np.ix_(r, j)], j)
+        for best, asked in zip(bests, ways, strict=True):
+            out = best.batch("score")
+            yield out.append_column("scoped", pa.array([asked is not None] * out.num_rows, pa.bool_()))
+
+    return tokens.mapInArrow(run, "qid long, rec_id long, score double, scoped boolean")
 
 
 def _counted(lists: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

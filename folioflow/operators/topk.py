@@ -121,7 +121,7 @@ def blocks(queries: DataFrame, n: int, order: str = "qid"):
             yield rows
 
 
-def ranked(found: DataFrame, score: str, k: int) -> DataFrame:
-    """k rows of every task meet here for each query."""
-    w = Window.partitionBy("qid").orderBy(F.desc(score), "rec_id")
+def ranked(found: DataFrame, score: str, k: int, *more: str) -> DataFrame:
+    """k rows of every task meet here for each query (and value of ``more``)."""
+    w = Window.partitionBy("qid", *more).orderBy(F.desc(score), "rec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -85,6 +85,22 @@ def test_bm25_within_scopes(spark, records, questions, texts):
     assert len({x.rec_id % 4 for x in out if x.qid == 1}) > 1
 
 
+def test_words_in_all_records_and_in_scopes_at_one_go(records, questions, monkeypatch):
+    q = questions.withColumn("scope", F.when(F.col("qid") == 0, "C1"))
+    r = records.withColumn("scope", F.col("company"))
+    plain = lambda df: sorted(map(tuple, df.select("qid", "rec_id", "score", "rank").collect()))
+    scans = []
+    scan = text_index._scan
+    monkeypatch.setattr(text_index, "_scan", lambda *a: scans.append(1) or scan(*a))
+    arms = retrieval.Arms(r, q, 5, "scope", both=True)
+    once = {s: plain(arms.words(s)) for s in (False, True)}
+    assert len(scans) == 1 and once[False] != once[True]
+    for s in (False, True):
+        assert once[s] == plain(text_index.search(r, q, 5, "scope" if s else None))
+    few, more = arms.texts(5, False).count(), arms.texts(5, False, True).count()
+    assert few == arms.best(5).select("rec_id").distinct().count() <= more
+
+
 def test_best_keeps_the_first_of_ties():
     rng = np.random.default_rng(4)
     scores = rng.integers(0, 6, (300, 5)).astype(float)
